@@ -34,6 +34,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the planner expects of ``df``: for a table read from files, the size of the files. 0 where it can't tell."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else 0
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(u, v) long pairs -> (node, component): the smallest node reachable, for every node of an edge.
 

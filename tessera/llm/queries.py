@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, exact_dedup, mixing, token_counts
+from tessera.llm import chat_format, exact_dedup, mixing, token_counts, token_store
+from tessera.llm._shared import new_path
 from tessera.tables import table
 
 #: op8: slots of each source in a period; all other sources share one.
@@ -31,6 +32,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(said.unionByName(extra)))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path, end_id=0)
+    return token_store.read_documents(spark, path)
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
 
@@ -42,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
+    "op6_token_store": op6_token_store,
     "op8_mix": op8_mix,
     "op10_token_counts": op10_token_counts,
 }
