@@ -150,7 +150,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     gap = _GAP[data]
     first = ~gap
-    first[1:] &= gap[:-1] | False
+    first[1:] &= gap[:-1]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
     first[edges] |= ~gap[edges]
     last = ~gap
