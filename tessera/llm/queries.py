@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, exact_dedup, mixing, ngram_join, token_counts, token_store
+from tessera.llm import chat_format, exact_dedup, mixing, ngram_join, token_counts, token_store, toxicity, vector_join
 from tessera.llm._shared import new_path
 from tessera.tables import table
 
@@ -36,12 +36,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(said.unionByName(extra)))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path, end_id=0)
     return token_store.read_documents(spark, path)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
 
@@ -54,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_near_vectors": op4_near_vectors,
     "op6_token_store": op6_token_store,
+    "op7_toxicity": op7_toxicity,
     "op8_mix": op8_mix,
     "op10_token_counts": op10_token_counts,
 }
