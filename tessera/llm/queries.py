@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, exact_dedup, mixing, ngram_join, token_counts, token_store, toxicity, vector_join
+from tessera.llm import chat_format, exact_dedup, mixing, ngram_join, packing, token_counts, token_store, toxicity, vector_join
 from tessera.llm._shared import new_path
 from tessera.tables import table
 
@@ -54,6 +54,10 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": op6_token_store,
     "op7_toxicity": op7_toxicity,
     "op8_mix": op8_mix,
+    "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
 
