@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, exact_dedup, mixing, ngram_join, packing, token_counts, token_store, toxicity, vector_join
+from tessera.llm import chat_format, exact_dedup, mixing, ngram_join, packing, repeat_index, token_counts, token_store, toxicity, vector_join
 from tessera.llm._shared import new_path
 from tessera.tables import table
 
@@ -40,6 +40,12 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeat_index.repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path, end_id=0)
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_near_vectors": op4_near_vectors,
+    "op5_repeats": op5_repeats,
     "op6_token_store": op6_token_store,
     "op7_toxicity": op7_toxicity,
     "op8_mix": op8_mix,
