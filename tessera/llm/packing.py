@@ -125,14 +125,17 @@ def fill(sizes: list[int], window: int, neighbours) -> Iterator[tuple[int, int,
         rest = after
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, ...] = ()
+) -> DataFrame:
     """Pieces of all documents: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Texts are encoded where they are read and written once as token ids; document frequencies are counted over all
     of them, in a table no longer than the vocabulary. Ids are then dealt by the hash of the document's id into
     shards whose number follows their volume; a shard is indexed and packed in one task. ``window`` is a power of
     two. A sequence is full, or its length is a power of two, so there is no padding; ``sequence_id`` has the
-    shard above and the sequence below.
+    shard above and the sequence below. With ``order``, columns of ``docs``, shards are ranges of that order and
+    their seeds follow it, so the order of the sequences keeps to it but for neighbours within a shard.
 
     Null and empty texts are the end id alone. Rows that repeat an id are packed each for itself, and null ids keep
     theirs. An empty table gives no rows. Further columns are not read.
@@ -150,7 +153,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, id_c
             at = 0
             for texts in groups(v.as_py() for v in batch.column(1)):
                 ids = pa.array([raw + end for raw in enc.encode(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([enc.dtype.itemsize] * len(texts), pa.int32()), ids], names=["id", "width", "ids"])
+                given = [batch.column(k).slice(at, len(texts)) for k in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([given[0], pa.array([enc.dtype.itemsize] * len(texts), pa.int32()), ids, *given[1:]], names=["id", "width", "ids", *places])
                 at += len(texts)
 
     def frequencies(batches: Iterator) -> Iterator:
@@ -168,7 +172,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, id_c
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [n, total]))], names=["term", "n"])
 
-    encoded = staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, f"id {kind}, width int, ids binary"), "packing-ids")
+    places = [f"place{k}" for k in range(len(order))]
+    placed = "".join(f", {p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(places, order, strict=True))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(p) for p, c in zip(places, order, strict=True)))
+    encoded = staged(rows.mapInArrow(encode, f"id {kind}, width int, ids binary{placed}"), "packing-ids")
     counted = {r["term"]: r["n"] for r in encoded.select("width", "ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n_docs, total = counted.pop(-1, 0), counted.pop(-2, 0)
     df = np.zeros(max(counted, default=0) + 1)
@@ -206,5 +213,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, id_c
         if held:
             yield shard()
 
-    dealt = encoded.repartition(shards, F.xxhash64("id", F.crc32("ids"))).sortWithinPartitions("id", "ids")
+    dealt = encoded.repartitionByRange(shards, *places) if places else encoded.repartition(shards, F.xxhash64("id", F.crc32("ids")))
+    dealt = dealt.sortWithinPartitions(*places, "id", "ids").select("id", "width", "ids")
     return dealt.mapInArrow(packed, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
