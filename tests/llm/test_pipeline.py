@@ -90,7 +90,7 @@ def test_toxicity_learns_and_holds_out(spark):
         w = list(rng.choice(words, 40)) + (list(rng.choice(["vile", "nasty", "rotten"], 2)) if toxic else [])
         rng.shuffle(w)
         rows.append((i, " ".join(w), "x"))
-        if i % 2 == 0:
+        if i // 6 % 2 == 0:
             labels.append((i, int(toxic)))
     df = spark.createDataFrame([*rows, (None, "vile nasty", "x"), (5000, None, "x"), (5001, "", "x"), (7, rows[7][1], "y")], "doc_id long, text string, score string")
     lab = spark.createDataFrame([*labels, (None, 1), (9, None)], "doc_id long, toxic int")
