@@ -19,6 +19,7 @@ SKETCH_BITS = 1024
 
 _A, _B, _C = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25))
 _SALT = np.uint64(0x27D4EB2F165667C5)
+_ALL = (1 << 64) - 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -33,9 +34,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
         if b - a >= n:
             yield np.unique(grams[a : b - n + 1])
         elif b > a:
-            whole = np.uint64(b - a) * _C
-            for x in h[a:b]:
-                whole = whole * _A + x
+            whole = (b - a) * int(_C)
+            for x in h[a:b].tolist():
+                whole = (whole * int(_A) + x) & _ALL
             yield mixed(np.array([whole], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
@@ -79,7 +80,7 @@ class Cells:
             if m not in self.cuts:
                 self.cuts[m] = np.array([(i << 64) // m for i in range(m)], np.uint64)
             ends = np.append(np.searchsorted(tokens, self.cuts[m]), len(tokens))
-            keys.append(mixed((sums[ends[1:]] - sums[ends[:-1]]) * _A + np.arange(m, dtype=np.uint64) * _B + np.uint64(tag) * _SALT))
+            keys.append(mixed((sums[ends[1:]] - sums[ends[:-1]]) * _A + np.arange(m, dtype=np.uint64) * _B + np.uint64(tag * int(_SALT) & _ALL)))
         return np.concatenate(keys)
 
 
