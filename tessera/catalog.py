@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera import plans  # noqa: F401  registers the queries
+from tessera.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "d05_retention_curve"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "a01_sales_by_month"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

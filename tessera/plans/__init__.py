@@ -1 +1,3 @@
-"""Spark-native analytics operators."""
+"""The library's named queries, by theme."""
+
+from tessera.plans import aggregates, joins, paging, scans, sets, warehouse, windows  # noqa: F401
