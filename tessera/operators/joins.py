@@ -43,7 +43,7 @@ def open_at_start(spans: DataFrame, group: str, start: str, end: str) -> DataFra
 
 def stab(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: Sequence[str] = (), width: int = 86_400) -> DataFrame:
     """Pairs of points and intervals [start, end] (timestamps) that hold them: an equi-join on buckets of ``width`` seconds, then the exact test."""
-    cell = lambda c: F.floor(F.unix_micros(c) / (width * 1_000_000))
+    cell = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (width * 1_000_000))
     left = points.withColumn("_b", cell(F.col(at)))
     right = intervals.withColumn("_b", F.explode(F.sequence(cell(F.col(start)), cell(F.col(end)))))
     return left.join(right, [*keys, "_b"]).filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_b")

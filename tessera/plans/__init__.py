@@ -1,3 +1,3 @@
 """The library's named queries, by theme."""
 
-from tessera.plans import aggregates, joins, observability, paging, scalars, scans, sets, warehouse, windows  # noqa: F401
+from tessera.plans import aggregates, graphs, joins, mining, observability, paging, scalars, scans, series, sets, warehouse, windows  # noqa: F401
