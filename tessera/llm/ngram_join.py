@@ -56,32 +56,59 @@ def size_classes(percent: int, most: int) -> np.ndarray:
 
 
 class Cells:
-    """The prefix elements of a set, by which it may meet others.
+    """The elements of a set by which it may meet others, before the prefix is taken.
 
-    For a class of sizes, hash space is cut into one cell more than the largest difference that a linked pair with
-    its smaller set in the class can have. A differing shingle spoils one cell, so at least one cell of a linked
-    pair holds the same shingles in both. The key is all that a cell holds, not one shingle of it: a passage that
-    many documents share then makes no candidates by itself.
+    For a class of sizes, let d be the largest difference that a linked pair with its smaller set in the class can
+    have. Hash space is cut into 1.5 (d + 1) cells. A differing shingle spoils one cell, so a linked pair agrees in
+    all that they hold in more cells than ``spare``. In an order of all cell keys, the rarest first, each set may
+    therefore leave out its ``spare`` last ones: the rarest key that a linked pair shares is in the prefix of both.
     """
 
     def __init__(self, percent: int):
         self.percent, self.lows, self.cuts = percent, size_classes(percent, 1 << 12), {}
 
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        if len(tokens) >= self.lows[-1]:
-            self.lows = size_classes(self.percent, 2 * len(tokens))
+    def _reach(self, size: int) -> None:
+        if size >= self.lows[-1]:
+            self.lows = size_classes(self.percent, 2 * size)
+
+    def needed(self, tag: int) -> int:
+        """d + 1 of a class."""
+        while tag + 1 >= len(self.lows):
+            self._reach(int(self.lows[-1]))
+        return (100 - self.percent) * (int(self.lows[tag + 1]) - 1) // self.percent + 1
+
+    def spare(self, tag: int) -> int:
+        return self.needed(tag) // 2
+
+    def of(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(class, keys) for the set's own class and for the one below, whose members it may link with."""
+        self._reach(len(tokens))
         own = int(np.searchsorted(self.lows, len(tokens), side="right")) - 1
         sums = np.zeros(len(tokens) + 1, np.uint64)
         np.cumsum(mixed(tokens + _C), out=sums[1:])
-        keys = []
+        out = []
         for tag in (own, own - 1) if own else (own,):
-            largest = int(self.lows[tag + 1]) - 1
-            m = (100 - self.percent) * largest // self.percent + 1
+            m = self.needed(tag) + self.spare(tag)
             if m not in self.cuts:
                 self.cuts[m] = np.array([(i << 64) // m for i in range(m)], np.uint64)
             ends = np.append(np.searchsorted(tokens, self.cuts[m]), len(tokens))
-            keys.append(mixed((sums[ends[1:]] - sums[ends[:-1]]) * _A + np.arange(m, dtype=np.uint64) * _B + np.uint64(tag * int(_SALT) & _ALL)))
-        return np.concatenate(keys)
+            out.append((tag, mixed((sums[ends[1:]] - sums[ends[:-1]]) * _A + np.arange(m, dtype=np.uint64) * _B + np.uint64(tag * int(_SALT) & _ALL))))
+        return out
+
+
+def _columns(batches: Iterator, n: int) -> list[np.ndarray]:
+    cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(n)]
+    for batch in batches:
+        for k in range(n):
+            cols[k].append(batch.column(k).to_numpy().astype(np.int64, copy=False))
+    return [np.concatenate(c) for c in cols]
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin a new group."""
+    if not len(cols[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0)))
 
 
 def _roots(n: int, pairs) -> list[int]:
@@ -161,9 +188,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     Two documents link when the Jaccard similarity of their sets of word n-grams is at least ``percent`` / 100.
     Words are runs of bytes other than ASCII white space, A-Z in lower case.
 
-    1. Documents with the same size and the same prefix elements (see ``Cells``) are one group: their sets are
-       equal, and one document stands for all. Copies are counted by a pre-aggregated grouping on 128 bits.
-    2. Groups meet where a prefix element agrees. A bucket sends one edge from each member to its least member, so
+    1. Documents with the same size and the same elements (see ``Cells``), and so with the same prefix, are one
+       group: their sets are equal, and one document stands for all, found by a pre-aggregated grouping on 128 bits.
+    2. The elements are counted over all groups, and each group keeps the rarest as its prefix. Groups meet where a
+       prefix element agrees. A bucket sends one edge from each member to its least member, so
        its size only counts once; the components of these edges are families, and all links lie within families.
     3. A family is dealt into blocks of bounded size, and each pair of blocks meets in a task of its own. There
        pairs of groups are filtered by size and sketch, and what passes is verified on the whole sets.
@@ -190,31 +218,60 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
 
         cells, out = Cells(percent), set()
         for rows, sets in _sets_of(batches, n):
-            keys, owners = [], []
+            keys, owners, tags = [], [], []
             for known, s in zip(rows.column(0).is_valid().to_pylist(), sets, strict=True):
                 if len(s) and known:
                     d = digest(s)
                     if d not in out:
                         if len(out) < REMEMBERED:
                             out.add(d)
-                        k = cells.of(s)
-                        keys.append(k)
-                        owners.append(np.full(len(k), d[0], np.int64))
+                        for tag, k in cells.of(s):
+                            keys.append(k)
+                            owners.append(np.full(len(k), d[0], np.int64))
+                            tags.append(np.full(len(k), tag, np.int16))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(tags))], names=["key", "d", "tag"])
+
+    def shared(batches: Iterator) -> Iterator:
+        """Keys that more than one set has, and how many have them."""
+        import pyarrow as pa
+
+        k, d, tag = _columns(batches, 3)
+        order = np.lexsort((d, k))
+        k, d, tag = k[order], d[order], tag[order]
+        one = _starts(k, d)
+        k, d, tag = k[one], d[one], tag[one]
+        first = _starts(k)
+        n = np.diff(np.append(first, len(k)))
+        n = np.repeat(n, n)
+        for a in range(0, len(k), 1 << 16):
+            many = a + np.flatnonzero(n[a : a + (1 << 16)] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(d[many]), pa.array(tag[many].astype(np.int16)), pa.array(n[many])], names=["key", "d", "tag", "n"])
+
+    def prefixes(batches: Iterator) -> Iterator:
+        """Each set's keys without the most frequent ones that it may spare. Keys that it has alone come before all others and are in the prefix already."""
+        import pyarrow as pa
+
+        cells = Cells(percent)
+        k, d, tag, count = _columns(batches, 4)
+        order = np.lexsort((k, count, tag, d))
+        k, d, tag = k[order], d[order], tag[order]
+        first = _starts(d, tag)
+        n = np.diff(np.append(first, len(k)))
+        spare = np.array([cells.spare(t) for t in range(int(tag.max()) + 1)])[tag[first]] if len(k) else n
+        keep = np.arange(len(k)) - np.repeat(first, n) < np.repeat(n - spare, n)
+        for a in range(0, len(k), 1 << 16):
+            at = a + np.flatnonzero(keep[a : a + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(d[at])], names=["key", "d"])
 
     def stars(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            owners.append(batch.column(1).to_numpy())
-        k, d = np.concatenate(keys), np.concatenate(owners)
+        k, d = _columns(batches, 2)
         order = np.lexsort((d, k))
         k, d = k[order], d[order]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        least = np.repeat(d[first], np.diff(np.append(first, len(k)))) if len(k) else d
+        first = _starts(k)
+        least = np.repeat(d[first], np.diff(np.append(first, len(k))))
         pairs = np.unique(np.stack([d, least], 1)[d != least], axis=0)
         if len(pairs):  # a forest of the partition's edges is enough
             nodes, at = np.unique(pairs, return_inverse=True)
@@ -253,7 +310,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["u", "v"])
 
     measured = staged(ids.mapInArrow(measure, "doc_id long, n_shingles long, d1 long, d2 long"), "ngram-sizes")
-    edges = ids.mapInArrow(cells, "key long, d long").repartition("key").mapInArrow(stars, "u long, v long")
+    met_keys = ids.mapInArrow(cells, "key long, d long, tag short").repartition("key").mapInArrow(shared, "key long, d long, tag short, n long")
+    prefix = met_keys.repartition("d").mapInArrow(prefixes, "key long, d long")
+    edges = prefix.repartition("key").mapInArrow(stars, "u long, v long")
     families = connected_components(edges, "ngram-families").select(F.col("node").alias("d1"), F.col("component").alias("family"))
     groups = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("gid"))
     standing = staged(groups.join(families, "d1"), "ngram-groups")
@@ -261,7 +320,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     dealt = standing.join(blocks, "family").withColumn("block", F.expr("cast(pmod(xxhash64(gid), blocks) as int)"))
     meets = dealt.select("family", "gid", "n_shingles", "d1", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     raw = ids.select(F.col("doc_id").alias("gid"), F.encode("text", "UTF-8").alias("raw"))
-    met = meets.join(raw, "gid").select(
+    # The texts are dealt by id at every size; no sort of them is needed, as an id's rows in ``meets`` are few.
+    met = raw.join(meets.hint("shuffle_hash"), "gid").select(
         "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "gid", "block", "n_shingles", "d1", "raw"
     )
     met = met.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
