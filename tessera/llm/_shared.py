@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import uuid
 
@@ -38,6 +39,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_tokens() -> None:
+    """Drops the token caches that a reused worker may hold from packing or encoding; they are made anew when needed."""
+    encoding = sys.modules.get("tessera.llm.encoding")
+    if encoding is not None and encoding._encoders:
+        encoding._encoders.clear()
+        gc.collect()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the planner expects of ``df``: for a table read from files, the size of the files. 0 where it can't tell."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import batch_bytes, chunks_of, connected_components, mixed, staged, words
+from tessera.llm._shared import batch_bytes, chunks_of, connected_components, forget_tokens, mixed, staged, words
 
 #: Shingles of a block of documents that meets another block in one task.
 BLOCK_SHINGLES = 1 << 20
@@ -124,6 +124,7 @@ def _roots(n: int, pairs) -> list[int]:
 
 
 def _sets_of(batches: Iterator, n: int) -> Iterator:
+    forget_tokens()
     for batch in batches:
         data, offsets = batch_bytes(batch.column(batch.num_columns - 1))
         for a, b in chunks_of(offsets):
