@@ -9,9 +9,15 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-#: Chunks whose ids a worker keeps. Beyond that, chunks it does not keep are encoded for each group of texts anew.
-KEEP = 500_000
+#: Chunks and pre-tokens whose ids a worker keeps. What finds no room is encoded for each group of texts anew.
+KEEP, KEEP_WORDS = 500_000, 1_000_000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: the pattern by which byte-level tokenizers of this kind cut texts into pre-tokens.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that end clauses: neither letters, digits nor white space, so after a word they are one pre-token.
+_CLAUSE = ".,;:!?"
+#: Pre-tokens that the library encodes at once.
+_TOGETHER = 500
 
 
 class _Chunks(dict):
@@ -28,33 +34,92 @@ class ChunkEncoder:
 
     Two kinds of tokenizers are told apart by their file. Where pre-tokenization joins a space to the word after it
     (byte level), a text may be cut before each single space that stands between characters other than white space:
-    no pre-token reaches across such a place. Where white space is dropped, it may be cut at every space. The
-    library encodes the chunks, merges included; texts are then put together from their chunks' ids.
+    no pre-token reaches across such a place. Where white space is dropped, it may be cut at every space.
+
+    A new chunk of plain Latin characters is cut into its pre-tokens by the file's own pattern, and the library encodes
+    the new pre-tokens, merges included: words of letters in one call for many, as the first (or last) token of each is
+    known by its space sign (or word end). Any other chunk goes to the library as it is.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path) as f:
-            kind = json.load(f)["pre_tokenizer"]
-        self.joined = kind["type"] == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"]
-        if not self.joined and not (kind["type"] == "Sequence" and kind["pretokenizers"][0]["type"] == "Split" and kind["pretokenizers"][0]["behavior"] == "Removed"):
+            file = json.load(f)
+        kind, model = file["pre_tokenizer"], file["model"]
+        self.joined = kind["type"] == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not file["normalizer"]
+        if self.joined:
+            pattern, mark = _BYTE_LEVEL, lambda t: t.startswith("\u0120")
+        elif kind["type"] == "Sequence" and kind["pretokenizers"][0]["type"] == "Split" and kind["pretokenizers"][0]["behavior"] == "Removed":
+            pattern, suffix = kind["pretokenizers"][0]["pattern"]["Regex"], model["end_of_word_suffix"]
+            if [n["type"] for n in file["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or not suffix:
+                raise ValueError(f"{path}: texts of this normalizer can't be cut at spaces")
+            mark = lambda t: t.endswith(suffix)
+        else:
             raise ValueError(f"{path}: texts of this pre-tokenizer can't be cut at spaces")
-        self.small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
-        self.code, self.dtype = ("H", np.dtype("<u2")) if self.small else ("I", np.dtype("<u4"))
-        self.heads, self.tails = _Chunks(), _Chunks()
+        self.cut = regex.compile(pattern).findall
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.marked = np.zeros(size, bool)
+        for token, i in model["vocab"].items():
+            self.marked[i] = mark(token)
+        self.code, self.dtype = ("H", np.dtype("<u2")) if size <= 1 << 16 else ("I", np.dtype("<u4"))
+        self.heads, self.tails, self.words = _Chunks(), _Chunks(), _Chunks()
+
+    def _each(self, strings: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(strings, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens that are letters, with the space before them where spaces are joined."""
+        out = []
+        for a in range(0, len(words), _TOGETHER):
+            part = words[a : a + _TOGETHER]
+            ids = np.array(self.library.encode(("" if self.joined else " ").join(part), add_special_tokens=False).ids, self.dtype)
+            at = np.flatnonzero(self.marked[ids])
+            if len(at) != len(part):
+                out += self._each(part)
+                continue
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            ends = [*(at[1:] if self.joined else at + 1).tolist(), *([len(ids)] if self.joined else [])]
+            begin = 0
+            for e in ends:
+                out.append(raw[begin * width : e * width])
+                begin = e
+        return out
+
+    def _parts(self, chunk: str, before: str) -> list[str]:
+        """Pre-tokens of a plain chunk; a word with ends of clauses after it needs no pattern."""
+        if not self.joined:
+            chunk = chunk.lower()
+        word = chunk.rstrip(_CLAUSE)
+        if word.isalpha():
+            return [before + word] if len(word) == len(chunk) else [before + word, chunk[len(word) :]]
+        return self.cut(before + chunk)
 
     def _learn(self, known: _Chunks, chunks: set[str], before: str) -> None:
         new = list(chunks - known.keys())
         known.extra = {}
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            found = self.library.encode_batch_fast([before + c for c in part], add_special_tokens=False)
-            room = KEEP - len(known)
-            to = known if room >= len(part) else known.extra
-            for c, e in zip(part, found, strict=True):
-                to[c] = array(self.code, e.ids).tobytes()
+        plain = [c for c in new if (c.isascii() or (max(c) < "\u0250" and "\u0130" not in c)) and "<|" not in c]
+        parts = [self._parts(c, before) for c in plain]
+        self.words.extra = {}
+        unknown = set().union(*parts) - self.words.keys() if parts else set()
+        letters = [w for w in unknown if (w[0] == " " and w[1:].isalpha() if self.joined else w.isalpha())]
+        others = list(unknown.difference(letters))
+        found = dict(zip(letters, self._words(letters), strict=True)) | dict(zip(others, self._each(others), strict=True))
+        if len(self.words) + len(found) <= KEEP_WORDS:
+            self.words.update(found)
+        else:
+            self.words.extra = found
+        get = self.words.__getitem__
+        ids = dict(zip(plain, (b"".join(map(get, p)) for p in parts), strict=True))
+        rest = [c for c in new if c not in ids] if len(plain) < len(new) else []
+        ids |= zip(rest, self._each([before + c for c in rest]), strict=True)
+        if len(known) + len(ids) <= KEEP:
+            known.update(ids)
+        else:
+            known.extra = ids
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``."""
@@ -97,7 +162,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def groups(values: Iterable[str | None], most: int = 1 << 21) -> Iterable[list[str]]:
+def groups(values: Iterable[str | None], most: int = 1 << 22) -> Iterable[list[str]]:
     """Texts in groups of about ``most`` characters, null as empty."""
     held, size = [], 0
     for v in values:

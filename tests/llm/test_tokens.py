@@ -15,7 +15,7 @@ from tessera.llm.encoding import ChunkEncoder
 
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n\nb c", "it's we'll 's 't", " 's", "x<|endoftext|>y <|endoftext|> z", "1 22 333", "é è  ñ ́a b",
-    "\ta b\x85c \x1c d", "a b c　d", "a  b", "tab\t tab", "!!! ??? ...a b", "naïve Ünïcode ΣΑΣ Σ", "🙂 🙂🙂 x", "a b " * 50, "\r\n a", "a' s", "ℌ ﬁ Å",
+    "\ta b\x85c \x1c d", "a b c　d", "a  b", "tab\t tab", "!!! ??? ...a b", "naïve Ünïcode ΣΑΣ Σ", "🙂 🙂🙂 x", "a b " * 50, "\r\n a", "a' s", "ℌ ﬁ Å", "don't CAN'T ß ſ ŉ ǅ ª º ² ¼ ½x x² İstanbul ˈa ʰ ª1 _a_ a_b 1a a1", "it''s 'tis 'the 'LL",
 ]
 
 
@@ -38,6 +38,8 @@ def test_chunks_beyond_what_is_kept(monkeypatch):
     from tessera.llm import encoding
 
     monkeypatch.setattr(encoding, "KEEP", 3)
+    monkeypatch.setattr(encoding, "KEEP_WORDS", 5)
+    monkeypatch.setattr(encoding, "_TOGETHER", 3)
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc, lib = ChunkEncoder(path), Tokenizer.from_file(path)
     for part in (texts(40), texts(40, 6)):
