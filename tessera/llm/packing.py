@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import input_bytes, staged
 
 #: Stored bytes of token ids for each shard of the index, and ids after which a shard is packed at the latest.
-SHARD_BYTES, SHARD_IDS = 6 << 20, 12_000_000
+SHARD_BYTES, SHARD_IDS = 3 << 20, 12_000_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Neighbours looked at for one that fits the window whole before the best one is cut.
@@ -84,32 +84,22 @@ def fill(sizes: list[int], window: int, neighbours) -> Iterator[tuple[int, int,
             continue
         open_.append((seed, at, sizes[seed] - at))
         left -= sizes[seed] - at
-        score = np.where(used, -1.0, neighbours(seed))
-        ranked = np.argsort(-score, kind="stable")
-        ranked = ranked[: int((~used).sum())].tolist()
-        place = 0
-        seed = None
-        while place < len(ranked):
-            ahead = [d for d in ranked[place : place + LOOK] if not used[d]]
-            fit = next((d for d in ahead if sizes[d] <= left), None)
-            if fit is None:
-                if ahead:
-                    best = ahead[0]
-                    used[best] = True
-                    open_.append((best, 0, left))
-                    seed, at = best, left
-                    yield from close()
-                    break
-                place += LOOK
-                continue
-            used[fit] = True
-            open_.append((fit, 0, sizes[fit]))
-            left -= sizes[fit]
+        score, seed = np.where(used, -1.0, neighbours(seed)), None
+        unused = len(sizes) - int(used.sum())
+        while left < window and unused:
+            look = min(LOOK, unused)
+            near = np.argpartition(-score, look - 1)[:look]
+            near = near[np.lexsort((near, -score[near]))].tolist()
+            fit = next((d for d in near if sizes[d] <= left), None)
+            d = near[0] if fit is None else fit
+            used[d], score[d], unused = True, -1.0, unused - 1
+            n = min(left, sizes[d])
+            open_.append((d, 0, n))
+            left -= n
+            if n < sizes[d]:
+                seed, at = d, n
             if not left:
                 yield from close()
-                break
-            while place < len(ranked) and used[ranked[place]]:
-                place += 1
     rest = open_
     while rest:
         total = sum(n for _, _, n in rest)
