@@ -1,4 +1,4 @@
-"""Packing by lexical retrieval: a sharded BM25 index finds the documents that fill each seed's window."""
+"""Packing by lexical retrieval: BM25 over the whole corpus finds the documents that fill each seed's window."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import input_bytes, staged
+from tessera.llm._shared import forget_tokens, input_bytes, new_path, staged
 
-#: Stored bytes of token ids for each shard of the index, and ids after which a shard is packed at the latest.
-SHARD_BYTES, SHARD_IDS = 3 << 20, 12_000_000
+#: Stored bytes of token ids for each file of the index. What is unused at the end, once no more than that, is packed on the driver.
+SHARD_BYTES = 3 << 20
+#: Windows filled in a round, neighbours fetched for each, and ids of the part of the index that a task holds at once.
+SEEDS, FETCH, PART_IDS = 2048, 64, 2_000_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Neighbours looked at for one that fits the window whole before the best one is cut.
@@ -20,7 +22,7 @@ LOOK = 32
 
 
 class Index:
-    """BM25 over the token ids of a shard's documents, with document frequencies of the whole corpus."""
+    """BM25 over the token ids of some documents, with document frequencies of the whole corpus."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float):
         self.n = len(docs)
@@ -39,7 +41,9 @@ class Index:
         self.terms_of, self.first = term[order].astype(np.int32), np.searchsorted(doc[order], np.arange(self.n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        terms = self.terms_of[self.first[seed] : self.first[seed + 1]]
+        return self.query(self.terms_of[self.first[seed] : self.first[seed + 1]])
+
+    def query(self, terms: np.ndarray) -> np.ndarray:
         a, n = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
         if not n.sum():
             return np.zeros(self.n)
@@ -115,17 +119,112 @@ def fill(sizes: list[int], window: int, neighbours) -> Iterator[tuple[int, int,
         rest = after
 
 
+class Open:
+    """A window that is being filled: its pieces (document, start, length), what is left of it, its seed and its sequence."""
+
+    def __init__(self, seed: int, start: int, n: int, left: int, sequence: int):
+        self.pieces, self.left, self.seed, self.sequence = [(seed, start, n)], left, seed, sequence
+
+
+class Packing:
+    """Which documents are used, and the pieces (document, start, length, sequence, offset) of the windows that are closed.
+
+    As in ``fill``, but for many windows at once: each is served the neighbours of its seed in the whole corpus.
+    """
+
+    def __init__(self, sizes: np.ndarray, window: int):
+        self.sizes, self.window, self.used = sizes, window, np.zeros(len(sizes), bool)
+        self.unused, self.unused_ids, self.next, self.sequence = len(sizes), int(sizes.sum()), 0, 0
+        self.pieces: list[tuple[int, int, int, int, int]] = []
+
+    def use(self, d: int) -> int:
+        self.used[d] = True
+        self.unused, self.unused_ids = self.unused - 1, self.unused_ids - int(self.sizes[d])
+        return int(self.sizes[d])
+
+    def close(self, pieces: list[tuple[int, int, int]], sequence: int) -> None:
+        offset = 0
+        for d, start, n in pieces:
+            self.pieces.append((d, start, n, sequence, offset))
+            offset += n
+
+    def begin(self, seed: int, at: int) -> Open | None:
+        """The window that the rest of a document seeds, after those that it fills alone."""
+        size = int(self.sizes[seed])
+        while size - at >= self.window:
+            self.close([(seed, at, self.window)], self.sequence)
+            at, self.sequence = at + self.window, self.sequence + 1
+        if at == size:
+            return None
+        self.sequence += 1
+        return Open(seed, at, size - at, self.window - size + at, self.sequence - 1)
+
+    def seeds(self, most: int) -> list[int]:
+        """The first unused documents. They stay unused, so that an earlier seed may take a later one."""
+        found, at = [], self.next
+        while at < len(self.used) and len(found) < most:
+            if not self.used[at]:
+                found.append(at)
+            at += 1
+        self.next = found[0] if found else at
+        return found
+
+    def start(self, seed: int) -> Open | None:
+        """The window of a seed; none if it has been taken or leaves no rest."""
+        if self.used[seed]:
+            return None
+        self.use(seed)
+        return self.begin(seed, 0)
+
+    def serve(self, w: Open, near: np.ndarray) -> Open | None:
+        """Fills ``w`` from its seed's best neighbours by falling score. What comes back waits for more of them: ``w``
+        itself if too few of ``near`` are unused to tell the next one, or the window seeded by a document that was cut."""
+        rest = None
+        while w.left:
+            near = near[~self.used[near]]
+            if not self.unused or len(near) < min(LOOK, self.unused):
+                return w
+            ahead = near[:LOOK]
+            fits = np.flatnonzero(self.sizes[ahead] <= w.left)
+            d = int(ahead[fits[0] if len(fits) else 0])
+            n = min(w.left, self.use(d))
+            w.pieces.append((d, 0, n))
+            w.left -= n
+            if n < self.sizes[d]:
+                rest = d, n
+        self.close(w.pieces, w.sequence)
+        return self.begin(*rest) if rest else None
+
+    def end(self, waiting: list[Open]) -> None:
+        """Windows that found no more documents are joined, and the last is cut into powers of two."""
+        rest = [x for w in waiting for x in w.pieces]
+        while rest:
+            take = min(self.window, 1 << (sum(n for _, _, n in rest).bit_length() - 1))
+            now, after, left = [], [], take
+            for d, start, n in rest:
+                k = min(n, left)
+                left -= k
+                if k:
+                    now.append((d, start, k))
+                if k < n:
+                    after.append((d, start + k, n - k))
+            self.close(now, self.sequence)
+            self.sequence, rest = self.sequence + 1, after
+
+
 def pack(
     docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, ...] = ()
 ) -> DataFrame:
     """Pieces of all documents: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Texts are encoded where they are read and written once as token ids; document frequencies are counted over all
-    of them, in a table no longer than the vocabulary. Ids are then dealt by the hash of the document's id into
-    shards whose number follows their volume; a shard is indexed and packed in one task. ``window`` is a power of
-    two. A sequence is full, or its length is a power of two, so there is no padding; ``sequence_id`` has the
-    shard above and the sequence below. With ``order``, columns of ``docs``, shards are ranges of that order and
-    their seeds follow it, so the order of the sequences keeps to it but for neighbours within a shard.
+    of them, in a table no longer than the vocabulary. Rounds follow: the first unused documents are seeds, every
+    task scores all seeds against its part of the index, and the best unused neighbours of the whole corpus go to the
+    driver, which gives each document to the first window that wants it. A window whose neighbours have been taken
+    asks again, so none is filled with less than the best. The work grows with the square of the number of
+    documents; the driver holds a number, the size and the use of each. ``window`` is a power of two. A sequence is full, or its length is a power of two,
+    so there is no padding. Seeds follow ``order``, columns of ``docs``, or else a hash of the id, and ``sequence_id``
+    follows the seeds.
 
     Null and empty texts are the end id alone. Rows that repeat an id are packed each for itself, and null ids keep
     theirs. An empty table gives no rows. Further columns are not read.
@@ -173,36 +272,160 @@ def pack(
     mean = total / max(1, n_docs)
     shards = max(1, -(-input_bytes(encoded) // SHARD_BYTES))
 
-    def packed(batches: Iterator) -> Iterator:
+    def number(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
-        names, held, size = [], [], 0
-
-        def shard():
-            nonlocal names, held, size, seq
-            index = Index(held, df, n_docs, mean)
-            rows, ids = [], []
-            for d, start, n, sequence, offset in fill([len(x) for x in held], window, index.scores):
-                ids.append(names[d])
-                rows.append((start, n, zlib.crc32(held[d][start : start + n].astype("<u4").tobytes()), len(held[d]), (part << 40) + (seq << 30) + sequence, offset))
-            names, held, size, seq = [], [], 0, seq + 1
-            cols = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-        id_type = None
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for name, width, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                names.append(name)
-                held.append(np.frombuffer(raw.as_py(), f"<u{width}"))
-                size += len(held[-1])
-                if size >= SHARD_IDS:
-                    yield shard()
-        if held:
-            yield shard()
+            width, start = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).offset
+            ends = np.frombuffer(batch.column(2).buffers()[1], np.int32)[start : start + len(batch) + 1].astype(np.int64)
+            n = pa.array(np.arange(at, at + len(batch)))
+            yield pa.RecordBatch.from_arrays([n, pa.array(np.diff(ends) // width), *batch.columns], names=["n", "size", "id", "width", "ids"])
+            at += len(batch)
 
     dealt = encoded.repartitionByRange(shards, *places) if places else encoded.repartition(shards, F.xxhash64("id", F.crc32("ids")))
     dealt = dealt.sortWithinPartitions(*places, "id", "ids").select("id", "width", "ids")
-    return dealt.mapInArrow(packed, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    dealt = staged(dealt.mapInArrow(number, f"n long, size long, id {kind}, width int, ids binary"), "packing-index")
+    listed = dealt.select("n", "size").toArrow()
+    names, sizes = (listed.column(k).to_numpy() for k in range(2))
+    by_name = np.argsort(names)
+    names, sizes = names[by_name], sizes[by_name]
+    made = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "packing-pieces")
+    if not len(names):
+        return spark.createDataFrame([], made).withColumnRenamed("id", id_col)
+    first = np.searchsorted(names, np.arange(int(names[-1] >> 40) + 1) << 40)
+
+    def taken(batches: Iterator, wanted: np.ndarray) -> Iterator:
+        """Numbers and ids of the documents that are wanted (bits)."""
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            n = first[n >> 40] + (n & ((1 << 40) - 1))
+            for k in np.flatnonzero(wanted[n >> 3] >> (7 - (n & 7)) & 1).tolist():
+                yield int(n[k]), np.frombuffer(batch.column(2)[k].as_py(), f"<u{batch.column(1)[k].as_py()}")
+
+    def fetched(wanted: np.ndarray, whole: bool) -> dict[int, np.ndarray]:
+        """Ids of documents, or only the distinct ones."""
+        bits = spark.sparkContext.broadcast(np.packbits(wanted))
+
+        def fetch(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            found = [(n, ids if whole else np.unique(ids)) for n, ids in taken(batches, bits.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([x.astype("<i4").tobytes() for _, x in found], pa.binary())], names=["n", "ids"])
+
+        got = dealt.select("n", "width", "ids").mapInArrow(fetch, "n long, ids binary").toArrow()
+        bits.destroy()
+        return {n: np.frombuffer(raw, "<i4") for n, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
+
+    def neighbours(queries: list[np.ndarray], used: np.ndarray) -> dict[int, np.ndarray]:
+        """For each query the best unused documents of the whole corpus, the best first."""
+        sent = spark.sparkContext.broadcast((queries, np.packbits(~used), df))
+
+        def best(score: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if len(score) > FETCH:
+                k = np.argpartition(-score, FETCH - 1)[:FETCH]
+                score, doc = score[k], doc[k]
+            k = np.lexsort((doc, -score))
+            return score[k], doc[k]
+
+        def rows(found: dict):
+            import pyarrow as pa
+
+            cols = [pa.array(list(found), pa.int32()), *(pa.array([x[k].astype(t).tobytes() for x in found.values()], pa.binary()) for k, t in ((0, "<f4"), (1, "<i8")))]
+            return pa.RecordBatch.from_arrays(cols, names=["q", "scores", "docs"])
+
+        def add(found: dict, q: int, score: np.ndarray, doc: np.ndarray) -> None:
+            if q in found:
+                score, doc = np.concatenate([found[q][0], score]), np.concatenate([found[q][1], doc])
+            found[q] = best(score, doc)
+
+        def find(batches: Iterator) -> Iterator:
+            forget_tokens()
+            asked, free, df = sent.value
+            found, held, size = {}, {}, 0
+
+            def part() -> None:
+                index, doc = Index(list(held.values()), df, n_docs, mean), np.array(list(held), np.int64)
+                for q, terms in enumerate(asked):
+                    add(found, q, *best(index.query(terms).astype(np.float32), doc))
+
+            for n, ids in taken(batches, free):
+                held[n] = ids
+                size += len(ids)
+                if size >= PART_IDS:
+                    part()
+                    held, size = {}, 0
+            if held:
+                part()
+            yield rows(found)
+
+        def merge(batches: Iterator) -> Iterator:
+            found = {}
+            for batch in batches:
+                for q, score, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    add(found, q, np.frombuffer(score, "<f4"), np.frombuffer(doc, "<i8"))
+            yield rows(found)
+
+        kept = "q int, scores binary, docs binary"
+        got = dealt.select("n", "width", "ids").mapInArrow(find, kept).repartition("q").mapInArrow(merge, kept).toArrow()
+        sent.destroy()
+        return {q: np.frombuffer(raw, "<i8") for q, raw in zip(got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True)}
+
+    def put() -> None:
+        import pyarrow as pa
+
+        if state.pieces:
+            cols = np.array(state.pieces, np.int64).T.copy()
+            cols[0] = names[cols[0]]
+            piece = pa.table(list(map(pa.array, cols)), names=["n", "start", "length", "sequence_id", "offset"])
+            spark.createDataFrame(piece).coalesce(1).write.mode("append").parquet(path)
+            state.pieces = []
+
+    state, waiting, terms = Packing(sizes, window), [], {}
+    while state.unused and state.unused_ids * 2 > SHARD_BYTES:
+        seeds = state.seeds(max(1, min(SEEDS, 1 + state.unused // 16) - len(waiting)))
+        asked = [w.seed for w in waiting] + seeds
+        wanted = np.zeros(len(sizes), bool)
+        wanted[[d for d in asked if d not in terms]] = True
+        terms = {d: terms[d] for d in asked if d in terms} | (fetched(wanted, False) if wanted.any() else {})
+        near = neighbours([terms[d] for d in asked], state.used)
+        again = []
+        for q, w in enumerate([*waiting, *seeds]):
+            w = state.start(w) if isinstance(w, int) else w
+            w = state.serve(w, near[q]) if w else None
+            if w:
+                again.append(w)
+        waiting = again
+        put()
+    if state.unused:
+        wanted = ~state.used
+        wanted[[w.seed for w in waiting]] = True
+        held = fetched(wanted, True)
+        free = np.flatnonzero(~state.used)
+        index = Index([held[d] for d in free.tolist()], df, n_docs, mean)
+        while state.unused:
+            w = waiting.pop(0) if waiting else state.start(state.seeds(1)[0])
+            if w:
+                again = state.serve(w, free[np.argsort(-index.query(np.unique(held[w.seed])), kind="stable")])
+                waiting[:0] = [again] if again else []
+    state.end(waiting)
+    put()
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at, out = [], []
+            for k, (width, raw, pieces) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True)):
+                ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
+                for x in pieces:
+                    at.append(k)
+                    out.append((x["start"], x["length"], zlib.crc32(ids[x["start"] : x["start"] + x["length"]].astype("<u4").tobytes()), len(ids), x["sequence_id"], x["offset"]))
+            cols = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    pieces = spark.read.schema("n long, start long, length long, sequence_id long, offset long").parquet(path)
+    pieces = pieces.groupBy("n").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    return dealt.join(pieces, "n").select("id", "width", "ids", "pieces").mapInArrow(cut, made).withColumnRenamed("id", id_col)

@@ -87,3 +87,19 @@ def test_table(spark, monkeypatch, shard):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH, 1).count() == 0
+
+
+def test_neighbours_come_from_the_whole_corpus(spark, monkeypatch):
+    """Two documents of each topic, far apart in an index of many files and parts; a window holds two."""
+    monkeypatch.setattr(P, "SHARD_BYTES", 1 << 8)
+    monkeypatch.setattr(P, "PART_IDS", 64, raising=False)
+    lib = Tokenizer.from_file(PATH)
+    words = [w for w in ("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=2)) for i in range(4000)) if len(lib.encode(" " + w, add_special_tokens=False).ids) == 1]
+    words = sorted(set(words))[:240]
+    rows = [(i + 1000 * half, "".join(f" {w}" for w in words[4 * i : 4 * i + 4]) * 3 + " the" * 3) for i in range(60) for half in range(2)]
+    assert {len(lib.encode(t, add_special_tokens=False).ids) for _, t in rows} == {15}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    windows = {}
+    for r in P.pack(df, PATH, 1, 32).collect():
+        windows.setdefault(r["sequence_id"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, windows.values())) == [[i, i + 1000] for i in range(60)]
