@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +18,18 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", most: int = 50) -> DataFrame:
-    """Breadth first from ``roots`` (node): node, degree (hops). Each round only joins the nodes found last; cycles end by themselves."""
+def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:
+    """Breadth first from ``roots`` (node): node, degree (hops). Each round only joins the nodes found last; cycles end by themselves. Fails if nodes are more than ``most`` hops away."""
     seen = _kept(roots.select("node").distinct().withColumn("degree", F.lit(0)))
     front = seen
     step = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct()
-    for hop in range(1, most + 1):
+    for hop in count(1):
         new = front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         front = _kept(new.withColumn("degree", F.lit(hop)))
         if front.isEmpty():
             break
+        if most is not None and hop > most:
+            raise ValueError(f"nodes are more than {most} hops away")
         seen = _kept(seen.unionByName(front))
     return seen
 

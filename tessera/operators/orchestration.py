@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FAILED, SUCCESS, SKIPPED = "FAILED", "SUCCESS", "UPSTREAM_FAILED"
 
 
-def simulate(tasks: DataFrame, edges: DataFrame, fails: DataFrame, most: int = 100) -> DataFrame:
+def simulate(tasks: DataFrame, edges: DataFrame, fails: DataFrame, most: int | None = None) -> DataFrame:
     """Runs a DAG wave by wave: task, wave, status.
 
     A wave takes all tasks whose dependencies are done. ``fails`` names the tasks that fail; what depends on a failed or
-    skipped task is skipped. Tasks on or behind a cycle are never ready: they come out as DEADLOCK with a null wave.
+    skipped task is skipped. Tasks on or behind a cycle are never ready: they come out as DEADLOCK with a null wave. Fails if
+    more than ``most`` waves are needed.
     """
     from tessera.operators.graph import _kept
 
     left = _kept(tasks.select("task").distinct())
     done = _kept(tasks.sparkSession.createDataFrame([], tasks.select("task", F.lit(0).alias("wave"), F.lit("").alias("status")).schema))
     bad = fails.select("task", F.lit(True).alias("_fails"))
-    for wave in range(most):
+    for wave in count():
         deps = edges.select("task", "dep").join(left, "task", "left_semi")
         state = done.select(F.col("task").alias("dep"), F.col("status").alias("_s"))
         seen = deps.join(state, "dep", "left").groupBy("task").agg(F.bool_or(F.col("_s").isNull()).alias("_waits"), F.bool_or(F.coalesce(F.col("_s") != SUCCESS, F.lit(False))).alias("_spoilt"))
@@ -28,6 +31,8 @@ def simulate(tasks: DataFrame, edges: DataFrame, fails: DataFrame, most: int = 1
         now = _kept(ready.select("task", F.lit(wave).alias("wave"), status.alias("status")))
         if now.isEmpty():
             break
+        if most is not None and wave >= most:
+            raise ValueError(f"the tasks need more than {most} waves")
         done = _kept(done.unionByName(now))
         left = _kept(left.join(now, "task", "left_anti"))
         if left.isEmpty():

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
-from tessera.operators import balancing, graph, paging, spatial, text, timeseries
+from tessera.operators import balancing, graph, orchestration, paging, spatial, text, timeseries
 from tessera.sources import files
 from tessera.streaming import events as S
 from tessera.tables import table
@@ -147,3 +147,18 @@ def test_semver(spark):
     d = spark.createDataFrame([("v1.2.3",), ("1.10.0",), ("x",)], "t string").select("t", scalar.semver(F.col("t")).alias("v"))
     assert [r["t"] for r in d.filter("v IS NOT NULL").orderBy("v").collect()] == ["v1.2.3", "1.10.0"]
     assert d.filter("v IS NULL").count() == 1
+
+
+def test_deep_chains_are_not_cut(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long").coalesce(1)
+    roots = spark.createDataFrame([(0,)], "node long")
+    assert sorted(tuple(r) for r in graph.reachable(e, roots).collect()) == [(i, i) for i in range(6)]
+    assert graph.reachable(e, roots, most=5).count() == 6
+    with pytest.raises(ValueError, match="hops"):
+        graph.reachable(e, roots, most=3)
+    edges = e.selectExpr("dst AS task", "src AS dep")
+    tasks = edges.select("task").union(edges.select("dep"))
+    none = tasks.limit(0)
+    assert {r["status"] for r in orchestration.simulate(tasks, edges, none).collect()} == {"SUCCESS"}
+    with pytest.raises(ValueError, match="waves"):
+        orchestration.simulate(tasks, edges, none, most=3)
