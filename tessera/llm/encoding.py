@@ -1,48 +1,39 @@
-"""Token ids of whole texts by the tokenizers library, encoding each distinct space-delimited chunk once per worker."""
+"""Token ids of whole texts by the tokenizers library, which encodes each distinct pre-token once per worker."""
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Chunks and pre-tokens whose ids a worker keeps. What finds no room is encoded for each group of texts anew.
-KEEP, KEEP_WORDS = 500_000, 1_000_000
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Fixed value: the pattern by which byte-level tokenizers of this kind cut texts into pre-tokens.
-_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that end clauses: neither letters, digits nor white space, so after a word they are one pre-token.
-_CLAUSE = ".,;:!?"
-#: Pre-tokens that the library encodes at once.
-_TOGETHER = 500
+from tessera.llm._shared import _LOWER, batch_bytes, chunks_of
 
+#: Bytes of units and their ids that a worker keeps; beyond it, the half that was used last stays.
+KEEP_BYTES = 24 << 20
+#: Words that the library encodes in one call, and bytes of texts that are looked at together.
+_TOGETHER, GROUP = 500, 1 << 22
+_OTHER, _LETTER, _DIGIT, _SPACE, _BLANK, _HARD = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = _LETTER
+_CLASS[list(b"0123456789")] = _DIGIT
+_CLASS[32], _CLASS[9:14] = _SPACE, _BLANK
+_CLASS[39] = _CLASS[28:32] = _CLASS[128:] = _HARD  # apostrophes begin contractions; the rest is for the library to class
 
-class _Chunks(dict):
-    """Ids of chunks; ``extra`` has those of the texts at hand that found no room."""
 
-    extra: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.extra[chunk]
-
-
-class ChunkEncoder:
+class Encoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    Two kinds of tokenizers are told apart by their file. Where pre-tokenization joins a space to the word after it
-    (byte level), a text may be cut before each single space that stands between characters other than white space:
-    no pre-token reaches across such a place. Where white space is dropped, it may be cut at every space.
-
-    A new chunk of plain Latin characters is cut into its pre-tokens by the file's own pattern, and the library encodes
-    the new pre-tokens, merges included: words of letters in one call for many, as the first (or last) token of each is
-    known by its space sign (or word end). Any other chunk goes to the library as it is.
+    Texts are cut into units such that the library gives a unit the same ids alone as within the text, and the
+    library encodes each distinct unit. First cuts go before spaces. Where pre-tokenization joins a space to the word
+    after it (byte level), only before single spaces between characters other than white space, as no pre-token
+    reaches across such a place; where white space is dropped, before all. Such a chunk is a unit of its own if it
+    holds anything but plain Latin text; others are cut further into their pre-tokens: runs of letters, of digits (or
+    single digits) and of other characters. All of this is done on the bytes of many texts at once.
     """
 
     def __init__(self, path: str):
-        import regex
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -51,125 +42,152 @@ class ChunkEncoder:
         kind, model = file["pre_tokenizer"], file["model"]
         self.joined = kind["type"] == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not file["normalizer"]
         if self.joined:
-            pattern, mark = _BYTE_LEVEL, lambda t: t.startswith("\u0120")
+            mark = lambda t: t.startswith("Ġ")
         elif kind["type"] == "Sequence" and kind["pretokenizers"][0]["type"] == "Split" and kind["pretokenizers"][0]["behavior"] == "Removed":
-            pattern, suffix = kind["pretokenizers"][0]["pattern"]["Regex"], model["end_of_word_suffix"]
+            suffix = model["end_of_word_suffix"]
             if [n["type"] for n in file["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or not suffix:
                 raise ValueError(f"{path}: texts of this normalizer can't be cut at spaces")
             mark = lambda t: t.endswith(suffix)
         else:
             raise ValueError(f"{path}: texts of this pre-tokenizer can't be cut at spaces")
-        self.cut = regex.compile(pattern).findall
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.marked = np.zeros(size, bool)
         for token, i in model["vocab"].items():
             self.marked[i] = mark(token)
-        self.code, self.dtype = ("H", np.dtype("<u2")) if size <= 1 << 16 else ("I", np.dtype("<u4"))
-        self.heads, self.tails, self.words = _Chunks(), _Chunks(), _Chunks()
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.units = pa.array([], pa.string())
+        self.ids, self.starts, self.lens, self.used = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.now = 0
 
-    def _each(self, strings: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(strings, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
+    def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], self.dtype), np.array([len(x) for x in found], np.int64)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens that are letters, with the space before them where spaces are joined."""
-        out = []
+    def _words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words of letters, many in one call: a word's first (or last) token is known by its space sign (or word end)."""
         for a in range(0, len(words), _TOGETHER):
             part = words[a : a + _TOGETHER]
-            ids = np.array(self.library.encode(("" if self.joined else " ").join(part), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.marked[ids])
-            if len(at) != len(part):
-                out += self._each(part)
-                continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*(at[1:] if self.joined else at + 1).tolist(), *([len(ids)] if self.joined else [])]
-            begin = 0
-            for e in ends:
-                out.append(raw[begin * width : e * width])
-                begin = e
-        return out
-
-    def _parts(self, chunk: str, before: str) -> list[str]:
-        """Pre-tokens of a plain chunk; a word with ends of clauses after it needs no pattern."""
-        if not self.joined:
-            chunk = chunk.lower()
-        word = chunk.rstrip(_CLAUSE)
-        if word.isalpha():
-            return [before + word] if len(word) == len(chunk) else [before + word, chunk[len(word) :]]
-        return self.cut(before + chunk)
-
-    def _learn(self, known: _Chunks, chunks: set[str], before: str) -> None:
-        new = list(chunks - known.keys())
-        known.extra = {}
-        plain = [c for c in new if (c.isascii() or (max(c) < "\u0250" and "\u0130" not in c)) and "<|" not in c]
-        parts = [self._parts(c, before) for c in plain]
-        self.words.extra = {}
-        unknown = set().union(*parts) - self.words.keys() if parts else set()
-        letters = [w for w in unknown if (w[0] == " " and w[1:].isalpha() if self.joined else w.isalpha())]
-        others = list(unknown.difference(letters))
-        found = dict(zip(letters, self._words(letters), strict=True)) | dict(zip(others, self._each(others), strict=True))
-        if len(self.words) + len(found) <= KEEP_WORDS:
-            self.words.update(found)
-        else:
-            self.words.extra = found
-        get = self.words.__getitem__
-        ids = dict(zip(plain, (b"".join(map(get, p)) for p in parts), strict=True))
-        rest = [c for c in new if c not in ids] if len(plain) < len(new) else []
-        ids |= zip(rest, self._each([before + c for c in rest]), strict=True)
-        if len(known) + len(ids) <= KEEP:
-            known.update(ids)
+            yield (ids, np.diff(np.append(at, len(ids)) if self.joined else np.append(-1, at))) if len(at) == len(part) else self._each(part)
+
+    def _learn(self, new: list[str]) -> None:
+        import pyarrow as pa
+
+        words, others = [], []
+        for u in new:
+            plain = u[:1] == " " and u[1:].isalpha() and (u.isascii() or (max(u) < "ɐ" and "İ" not in u))
+            (words if plain else others).append(u)
+        found = [(self.ids, self.lens), *self._words(words)] + ([self._each(others)] if others else [])
+        self.ids, self.lens = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.units = pa.concat_arrays([self.units, pa.array(words + others, pa.string())])
+        self.used = np.append(self.used, np.full(len(new), self.now))
+
+    def _forget(self) -> None:
+        """Keeps the units that were used last, up to half of the bytes that may be kept."""
+        import pyarrow as pa
+
+        order = np.argsort(-self.used, kind="stable")
+        size = np.diff(np.frombuffer(self.units.buffers()[1], np.int32)[: len(self.units) + 1])[order] + self.lens[order] * self.dtype.itemsize + 28
+        kept = np.sort(order[: int(np.searchsorted(np.cumsum(size), KEEP_BYTES // 2))])
+        self.units = self.units.take(pa.array(kept))
+        self.ids, self.lens, self.used = self._gather(kept), self.lens[kept], self.used[kept]
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        n = self.lens[slots]
+        return self.ids[np.repeat(self.starts[slots] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the units, and the bytes with the letters of plain chunks in lower case where the library lowers them."""
+        n = len(data)
+        cls = _CLASS[data]
+        solid = (cls != _SPACE) & (cls != _BLANK)  # surely not white space
+        if (data >= 128).any():
+            after = np.append(data[1:], 0)
+            two = np.flatnonzero((data >= 0xC3) & (data <= 0xC9) & ~((data == 0xC3) & ((after == 0x97) | (after == 0xB7))) & ~((data == 0xC4) & (after == 0xB0)))
+            cls[two] = cls[two + 1] = _LETTER
+            odd = np.flatnonzero(((data >= 0xE1) & (data <= 0xE3)) | ((data == 0xC2) & ((after == 0x85) | (after == 0xA0))))
+            solid[odd] = solid[odd + 1] = solid[np.minimum(odd + 2, n - 1)] = False
+        solid[(data >= 28) & (data < 32)] = False
+        first = np.zeros(n, bool)
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        space = cls == _SPACE
+        chunk = first.copy()
+        if self.joined:
+            chunk[1:-1] |= space[1:-1] & solid[:-2] & solid[2:] & ~first[1:-1] & ~first[2:]
         else:
-            known.extra = ids
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of ``dtype``."""
+            chunk |= space
+        hard = cls == _HARD
+        hard[1:] |= (data[1:] == 124) & (data[:-1] == 60)  # <| may begin a special token
+        if self.joined:
+            white = space | (cls == _BLANK)
+            hard[1:] |= white[1:] & white[:-1] & ~first[1:]
+            hard |= space & ~chunk
+        starts = np.flatnonzero(chunk)
+        easy = np.add.reduceat(hard, starts, dtype=np.int32) == 0
+        inner = np.zeros(n, bool)
+        inner[1:] = (cls[1:] != cls[:-1]) & ~(space[:-1] & chunk[:-1])
         if not self.joined:
-            cut = [t.split(" ") for t in texts]
-            self._learn(self.tails, set().union(*cut), "")
-            get = self.tails.__getitem__
-            return [b"".join(map(get, c)) for c in cut]
-        heads, cut = [], []
-        for t in texts:
-            c = t.split(" ")
-            if "" in c or not _even(c):
-                c = _INNER_SPACE.split(t)
-            heads.append(c[0])
-            cut.append(c[1:])
-        self._learn(self.heads, set(heads), "")
-        self._learn(self.tails, set().union(*cut), " ")
-        head, tail = self.heads.__getitem__, self.tails.__getitem__
-        return [head(h) + b"".join(map(tail, c)) for h, c in zip(heads, cut, strict=True)]
-
-
-_EDGE = re.compile(r"\s | \s|^\s|\s$")
-
-
-def _even(chunks: list[str]) -> bool:
-    """No chunk begins or ends with white space (chunks are known not to be empty)."""
-    return not _EDGE.search(" ".join(chunks))
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
+            inner[1:] |= (cls[1:] == _DIGIT) & ~(space[:-1] & chunk[:-1])
+        if not easy.all():
+            easy = np.repeat(easy, np.diff(np.append(starts, n)))
+            inner &= easy
+        if not self.joined:
+            data = np.where(easy, _LOWER[data], data) if len(easy) == n else _LOWER[data]
+        return np.flatnonzero(inner | chunk), data
+
+    def encode_rows(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Groups of rows of an Arrow string array, null as empty: (first row, end, ids of all, where each row's begin and end)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole, offsets = batch_bytes(column)
+        for a, b in chunks_of(offsets, GROUP):
+            self.now += 1
+            at = offsets[a : b + 1] - offsets[a]
+            if not at[-1]:
+                yield a, b, np.zeros(0, self.dtype), at
+                continue
+            starts, data = self._cut(whole[offsets[a] : offsets[b]], at)
+            places = np.append(starts, len(data)).astype(np.int32)
+            units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+            known = pc.index_in(units.dictionary, value_set=self.units)
+            slots = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+            new = units.dictionary.filter(pc.is_null(known)).to_pylist()
+            if new:
+                size = len(self.units)
+                self._learn(new)
+                fresh = pc.index_in(units.dictionary.filter(pc.is_null(known)), value_set=self.units.slice(size)).to_numpy()
+                slots[slots < 0] = size + fresh
+            self.used[slots] = self.now
+            each = slots[units.indices.to_numpy()]
+            ends = np.append(0, np.cumsum(self.lens[each]))
+            yield a, b, self._gather(each), ends[np.searchsorted(starts, at)]
+            if self.units.nbytes + self.ids.nbytes + 24 * len(self.lens) > KEEP_BYTES:
+                self._forget()
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        import pyarrow as pa
+
+        return [ids[x:y] for _, _, ids, ends in self.encode_rows(pa.array(texts, pa.string())) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encode_documents(self, column, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """As ``encode_rows``, with an end id after every row's."""
+        for a, b, ids, ends in self.encode_rows(column):
+            yield a, b, np.insert(ids, ends[1:], self.dtype.type(end_id)), ends + np.arange(len(ends))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One for each worker process."""
     if path not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
-
-
-def groups(values: Iterable[str | None], most: int = 1 << 22) -> Iterable[list[str]]:
-    """Texts in groups of about ``most`` characters, null as empty."""
-    held, size = [], 0
-    for v in values:
-        held.append(v or "")
-        size += len(held[-1])
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held

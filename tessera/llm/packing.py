@@ -1,67 +1,91 @@
-"""Packing by lexical retrieval: BM25 over the whole corpus finds the documents that fill each seed's window."""
+"""Packing by lexical retrieval: a sharded BM25 index finds the unused documents that fill each seed's window."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import forget_tokens, input_bytes, new_path, staged
+from tessera.llm._shared import input_bytes, mixed, staged
 
-#: Stored bytes of token ids for each file of the index. What is unused at the end, once no more than that, is packed on the driver.
-SHARD_BYTES = 3 << 20
-#: Windows filled in a round, neighbours fetched for each, and ids of the part of the index that a task holds at once.
-SEEDS, FETCH, PART_IDS = 2048, 64, 2_000_000
+#: Stored bytes of token ids for each shard, a task's, and shards for each core at least; ids of the documents that a
+#: shard's index holds at once.
+SHARD_BYTES, CORE_SHARDS, POOL_IDS = 256 << 20, 2, 4_000_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-#: Neighbours looked at for one that fits the window whole before the best one is cut.
-LOOK = 32
+#: The routing's bounded sample of documents, its topics, the cells that terms are hashed to, and the terms of a place.
+SAMPLE, TOPICS, CELLS, PLACE_TERMS = 2048, 8, 4096, 4
+
+
+class Doc(NamedTuple):
+    """A document of a pool; ``key`` is whatever its pieces carry."""
+
+    key: object
+    size: int
+    terms: np.ndarray
+    tf: np.ndarray
+
+
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and how often each stands in the document."""
+    s = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    return s[first], np.diff(np.append(first, len(s)))
+
+
+def idf_of(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """BM25's weight of each term; one of half of all documents or more tells nothing."""
+    return np.maximum(0, np.log((n_docs - df + 0.5) / (df + 0.5)))
+
+
+def impact(idf: np.ndarray, tf: np.ndarray, size: np.ndarray | int, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1e-9)))
 
 
 class Index:
-    """BM25 over the token ids of some documents, with document frequencies of the whole corpus."""
+    """BM25 over some documents, with the weights and the mean length of the whole corpus."""
 
-    def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float):
+    def __init__(self, docs: list[Doc], idf: np.ndarray, mean: float):
         self.n = len(docs)
-        sizes = np.array([len(d) for d in docs], np.int64)
-        owner = np.repeat(np.arange(self.n), sizes)
-        keys, tf = np.unique(np.concatenate(docs).astype(np.int64) * self.n + owner if self.n else np.zeros(0, np.int64), return_counts=True)
-        term, doc = keys // max(1, self.n), keys % max(1, self.n)
-        idf = np.maximum(0, np.log((n_docs - df + 0.5) / (df + 0.5)))
-        useful = idf[term] > 0  # a term of half of all documents tells nothing
-        term, doc, tf = term[useful], doc[useful], tf[useful]
-        norm = K1 * (1 - B + B * sizes / max(mean, 1e-9))
-        self.impact = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        self.doc = doc.astype(np.int32)
-        self.starts = np.searchsorted(term, np.arange(len(df) + 1))
-        order = np.argsort(doc, kind="stable")
-        self.terms_of, self.first = term[order].astype(np.int32), np.searchsorted(doc[order], np.arange(self.n + 1))
-
-    def scores(self, seed: int) -> np.ndarray:
-        return self.query(self.terms_of[self.first[seed] : self.first[seed + 1]])
+        sizes = np.array([d.size for d in docs], np.int64)
+        term = np.concatenate([d.terms for d in docs]) if docs else np.zeros(0, np.uint16)
+        tf = np.concatenate([d.tf for d in docs]) if docs else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(self.n), np.array([len(d.terms) for d in docs], np.int64))
+        useful = idf[term] > 0
+        term, tf, owner = term[useful], tf[useful], owner[useful]
+        order = np.argsort(term, kind="stable")
+        self.doc, self.impact = owner[order], impact(idf[term], tf, sizes[owner], mean)[order]
+        self.starts = np.append(0, np.cumsum(np.bincount(term, minlength=len(idf))))
 
     def query(self, terms: np.ndarray) -> np.ndarray:
-        a, n = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-        if not n.sum():
+        """The score of every document."""
+        a, b = self.starts[terms], self.starts[terms.astype(np.int64) + 1]
+        some = a < b
+        if not some.any():
             return np.zeros(self.n)
-        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
-        return np.bincount(self.doc[at], self.impact[at], self.n)
+        lists = list(zip(a[some].tolist(), b[some].tolist(), strict=True))
+        return np.bincount(np.concatenate([self.doc[x:y] for x, y in lists]), np.concatenate([self.impact[x:y] for x, y in lists]), self.n)
 
 
-def fill(sizes: list[int], window: int, neighbours) -> Iterator[tuple[int, int, int, int, int]]:
+def fill(docs: Iterable[Doc], window: int, index: Callable[[list[Doc]], Index], most: int | None = None) -> Iterator[tuple[Doc, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of all documents, every id in one piece.
 
-    The first unused document is a seed. Its neighbours come by falling score: those that fit what is left of the
-    window are placed whole; if none of the next ones fits, the best is cut, and its rest seeds the next window.
-    What is left at the end is cut into sequences of a power of two, so nothing is padded.
+    ``docs`` come in an order in which like ones are near. The index holds ``most`` ids of unused documents at first
+    and takes in the next ones whenever half of them are used, so each seed meets its nearest in that order on both
+    sides, and all unused ones at the end. The first unused document is a seed. Its neighbours in the index come by
+    falling score: always the best one that fits what is left of the window; if none does, the best is cut, and its
+    rest seeds the next window. What is left at the end is cut into sequences of a power of two, so nothing is padded.
     """
-    used = np.zeros(len(sizes), bool)
-    sequence, left, nxt = 0, window, 0
-    open_: list[tuple[int, int, int]] = []
-    seed, at = None, 0
+    most = POOL_IDS if most is None else most
+    source, more = iter(docs), True
+    pool: list[Doc] = []
+    sizes, used, found = np.zeros(0, np.int64), np.zeros(0, bool), None
+    unused = sequence = nxt = 0
+    left, open_, seed, at = window, [], None, 0
 
     def close():
         nonlocal open_, sequence, left
@@ -72,35 +96,45 @@ def fill(sizes: list[int], window: int, neighbours) -> Iterator[tuple[int, int,
         open_, sequence, left = [], sequence + 1, window
 
     while True:
+        if more and unused * 2 <= most:
+            pool, held = [d for d, u in zip(pool, used.tolist(), strict=True) if not u], unused
+            while more and held < most:
+                d = next(source, None)
+                more = d is not None
+                if more:
+                    pool.append(d)
+                    held += d.size
+            sizes, used, found, unused, nxt = np.array([d.size for d in pool], np.int64), np.zeros(len(pool), bool), index(pool), held, 0
         if seed is None:
-            while nxt < len(sizes) and used[nxt]:
+            while nxt < len(pool) and used[nxt]:
                 nxt += 1
-            if nxt == len(sizes):
+            if nxt == len(pool):
                 break
-            seed, at = nxt, 0
-            used[seed] = True
-        while sizes[seed] - at >= left:
+            seed, at, used[nxt] = pool[nxt], 0, True
+            unused -= seed.size
+        while seed.size - at >= left:
             open_.append((seed, at, left))
             at += left
             yield from close()
-        if at == sizes[seed]:
+        if at == seed.size:
             seed = None
             continue
-        open_.append((seed, at, sizes[seed] - at))
-        left -= sizes[seed] - at
-        score, seed = np.where(used, -1.0, neighbours(seed)), None
-        unused = len(sizes) - int(used.sum())
-        while left < window and unused:
-            look = min(LOOK, unused)
-            near = np.argpartition(-score, look - 1)[:look]
-            near = near[np.lexsort((near, -score[near]))].tolist()
-            fit = next((d for d in near if sizes[d] <= left), None)
-            d = near[0] if fit is None else fit
-            used[d], score[d], unused = True, -1.0, unused - 1
-            n = min(left, sizes[d])
+        open_.append((seed, at, seed.size - at))
+        left -= seed.size - at
+        score, seed = np.where(used, -1.0, found.query(seed.terms)), None
+        while left < window:
+            fits = np.where(sizes <= left, score, -1.0)
+            k = int(np.argmax(fits)) if len(fits) else 0
+            if not len(fits) or fits[k] < 0:
+                k = int(np.argmax(score)) if len(score) else 0
+                if not len(score) or score[k] < 0:
+                    break  # all used
+            d, n = pool[k], min(left, int(sizes[k]))
+            used[k], score[k] = True, -1.0
+            unused -= d.size
             open_.append((d, 0, n))
             left -= n
-            if n < sizes[d]:
+            if n < d.size:
                 seed, at = d, n
             if not left:
                 yield from close()
@@ -119,97 +153,41 @@ def fill(sizes: list[int], window: int, neighbours) -> Iterator[tuple[int, int,
         rest = after
 
 
-class Open:
-    """A window that is being filled: its pieces (document, start, length), what is left of it, its seed and its sequence."""
-
-    def __init__(self, seed: int, start: int, n: int, left: int, sequence: int):
-        self.pieces, self.left, self.seed, self.sequence = [(seed, start, n)], left, seed, sequence
-
+class Routing:
+    """Deals documents to places such that lexically like ones are near: by topic, then by their heaviest terms.
 
-class Packing:
-    """Which documents are used, and the pieces (document, start, length, sequence, offset) of the windows that are closed.
-
-    As in ``fill``, but for many windows at once: each is served the neighbours of its seed in the whole corpus.
+    The topics are spherical k-means over hashed terms of a sample; the terms of a place are a document's
+    ``PLACE_TERMS`` of the greatest impact, the most widespread of them first, so that near copies share a place.
+    Weights are the sample's. Where a document lies decides only which others its index holds, no score.
     """
 
-    def __init__(self, sizes: np.ndarray, window: int):
-        self.sizes, self.window, self.used = sizes, window, np.zeros(len(sizes), bool)
-        self.unused, self.unused_ids, self.next, self.sequence = len(sizes), int(sizes.sum()), 0, 0
-        self.pieces: list[tuple[int, int, int, int, int]] = []
-
-    def use(self, d: int) -> int:
-        self.used[d] = True
-        self.unused, self.unused_ids = self.unused - 1, self.unused_ids - int(self.sizes[d])
-        return int(self.sizes[d])
-
-    def close(self, pieces: list[tuple[int, int, int]], sequence: int) -> None:
-        offset = 0
-        for d, start, n in pieces:
-            self.pieces.append((d, start, n, sequence, offset))
-            offset += n
-
-    def begin(self, seed: int, at: int) -> Open | None:
-        """The window that the rest of a document seeds, after those that it fills alone."""
-        size = int(self.sizes[seed])
-        while size - at >= self.window:
-            self.close([(seed, at, self.window)], self.sequence)
-            at, self.sequence = at + self.window, self.sequence + 1
-        if at == size:
-            return None
-        self.sequence += 1
-        return Open(seed, at, size - at, self.window - size + at, self.sequence - 1)
-
-    def seeds(self, most: int) -> list[int]:
-        """The first unused documents. They stay unused, so that an earlier seed may take a later one."""
-        found, at = [], self.next
-        while at < len(self.used) and len(found) < most:
-            if not self.used[at]:
-                found.append(at)
-            at += 1
-        self.next = found[0] if found else at
-        return found
-
-    def start(self, seed: int) -> Open | None:
-        """The window of a seed; none if it has been taken or leaves no rest."""
-        if self.used[seed]:
-            return None
-        self.use(seed)
-        return self.begin(seed, 0)
-
-    def serve(self, w: Open, near: np.ndarray) -> Open | None:
-        """Fills ``w`` from its seed's best neighbours by falling score. What comes back waits for more of them: ``w``
-        itself if too few of ``near`` are unused to tell the next one, or the window seeded by a document that was cut."""
-        rest = None
-        while w.left:
-            near = near[~self.used[near]]
-            if not self.unused or len(near) < min(LOOK, self.unused):
-                return w
-            ahead = near[:LOOK]
-            fits = np.flatnonzero(self.sizes[ahead] <= w.left)
-            d = int(ahead[fits[0] if len(fits) else 0])
-            n = min(w.left, self.use(d))
-            w.pieces.append((d, 0, n))
-            w.left -= n
-            if n < self.sizes[d]:
-                rest = d, n
-        self.close(w.pieces, w.sequence)
-        return self.begin(*rest) if rest else None
-
-    def end(self, waiting: list[Open]) -> None:
-        """Windows that found no more documents are joined, and the last is cut into powers of two."""
-        rest = [x for w in waiting for x in w.pieces]
-        while rest:
-            take = min(self.window, 1 << (sum(n for _, _, n in rest).bit_length() - 1))
-            now, after, left = [], [], take
-            for d, start, n in rest:
-                k = min(n, left)
-                left -= k
-                if k:
-                    now.append((d, start, k))
-                if k < n:
-                    after.append((d, start + k, n - k))
-            self.close(now, self.sequence)
-            self.sequence, rest = self.sequence + 1, after
+    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], size: int):
+        self.df = np.zeros(size)
+        for terms, _ in sample:
+            self.df[terms] += 1
+        self.idf = np.log(1 + (len(sample) + 0.5) / (self.df + 0.5))  # terms that the sample lacks are the rarest
+        self.idf[self.df * 2 > len(sample)] = 0
+        self.mean = sum(int(tf.sum()) for _, tf in sample) / max(1, len(sample))
+        self.cell = (mixed(np.arange(size, dtype=np.uint64)) & np.uint64(CELLS - 1)).astype(np.int64)
+        x = np.zeros((len(sample), CELLS), np.float32)
+        for row, (terms, _) in zip(x, sample, strict=True):
+            np.add.at(row, self.cell[terms], self.idf[terms])
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        centres = x[np.linspace(0, max(0, len(x) - 1), TOPICS).astype(np.int64)] if len(x) else np.zeros((TOPICS, CELLS), np.float32)
+        for _ in range(10):
+            near = np.argmax(x @ centres.T, axis=1) if len(x) else np.zeros(0, np.int64)
+            for k in range(TOPICS):
+                if (near == k).any():
+                    c = x[near == k].mean(axis=0)
+                    centres[k] = c / max(float(np.linalg.norm(c)), 1e-9)
+        self.centres = np.ascontiguousarray(centres[:, self.cell].T * self.idf[:, None].astype(np.float32))
+
+    def place(self, terms: np.ndarray, tf: np.ndarray, size: int) -> tuple[int, ...]:
+        """(topic, term, ...); -1 where a document has fewer terms."""
+        weight = impact(self.idf[terms], tf, size, self.mean)
+        k = np.argpartition(-weight, PLACE_TERMS - 1)[:PLACE_TERMS] if len(terms) > PLACE_TERMS else np.arange(len(terms))
+        best = terms[k][np.lexsort((terms[k], -self.df[terms[k]]))]
+        return int(np.argmax(self.centres[terms].sum(axis=0))), *best.tolist(), *[-1] * (PLACE_TERMS - len(best))
 
 
 def pack(
@@ -217,215 +195,132 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Texts are encoded where they are read and written once as token ids; document frequencies are counted over all
-    of them, in a table no longer than the vocabulary. Rounds follow: the first unused documents are seeds, every
-    task scores all seeds against its part of the index, and the best unused neighbours of the whole corpus go to the
-    driver, which gives each document to the first window that wants it. A window whose neighbours have been taken
-    asks again, so none is filled with less than the best. The work grows with the square of the number of
-    documents; the driver holds a number, the size and the use of each. ``window`` is a power of two. A sequence is full, or its length is a power of two,
-    so there is no padding. Seeds follow ``order``, columns of ``docs``, or else a hash of the id, and ``sequence_id``
-    follows the seeds.
+    1. A routing is fitted on about ``SAMPLE`` documents (twice as many at most). It only decides who meets whom.
+    2. Texts are encoded where they are read, and written once as token ids with their terms and place.
+    3. Document frequencies are counted over all documents, in a table no longer than the vocabulary.
+    4. Documents are exchanged into ranges of places, the shards, sorted by place. A hash of the id and the ids ends
+       the place, so any number of like documents can be split. A task streams its shard through an index of
+       ``POOL_IDS`` ids that is refilled with the next documents (see ``fill``): its memory does not depend on the
+       shard, and the work is in proportion to the number of documents.
+
+    ``window`` is a power of two. A sequence is full, or its length is a power of two, so there is no padding; each
+    shard ends with the binary digits of what is left. Sequences are numbered by shard, or if ``order`` names columns
+    of ``docs``, by the place of their seeds in that order.
 
     Null and empty texts are the end id alone. Rows that repeat an id are packed each for itself, and null ids keep
     theirs. An empty table gives no rows. Further columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    marks = [f"mark{k}" for k in range(len(order))]
+    marked = "".join(f", {p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(marks, order, strict=True))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(p) for p, c in zip(marks, order, strict=True)))
+
+    def sampled(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from tessera.llm.encoding import encoder
+
+        enc = encoder(vocabulary)
+        for batch in batches:
+            for a, b, ids, ends in enc.encode_documents(batch.column(0), end_id):
+                found = [terms_of(ids[ends[k] : ends[k + 1]]) for k in range(b - a)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1)], names=["terms", "tf"])
+
+    n_rows = docs.count()
+    some = rows.select("text").sample(min(1.0, SAMPLE / max(1, n_rows)), seed=11).limit(2 * SAMPLE)
+    sample = [tuple(np.frombuffer(x, "<i4") for x in r) for r in some.mapInArrow(sampled, "terms binary, tf binary").collect()]
+    routing = Routing(sample, 1 + max((int(t[-1]) for t, _ in sample), default=0))
+    places = [f"place{k}" for k in range(1 + PLACE_TERMS)]
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from tessera.llm.encoding import encoder, groups
+        from tessera.llm.encoding import encoder
 
         enc = encoder(vocabulary)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            at = 0
-            for texts in groups(v.as_py() for v in batch.column(1)):
-                ids = pa.array([raw + end for raw in enc.encode(texts)], pa.binary())
-                given = [batch.column(k).slice(at, len(texts)) for k in (0, *range(2, batch.num_columns))]
-                yield pa.RecordBatch.from_arrays([given[0], pa.array([enc.dtype.itemsize] * len(texts), pa.int32()), ids, *given[1:]], names=["id", "width", "ids", *places])
-                at += len(texts)
+            for a, b, ids, ends in enc.encode_documents(batch.column(1), end_id):
+                found, where = [], []
+                for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    terms, tf = terms_of(ids[x:y])
+                    known = terms < len(routing.df)
+                    where.append(routing.place(terms[known], tf[known], y - x))
+                    found.append((terms.tobytes(), tf.astype("<u4").tobytes()))
+                width = ids.dtype.itemsize
+                raw = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+                given = [batch.column(k).slice(a, b - a) for k in (0, *range(2, batch.num_columns))]
+                put = [pa.array(c, pa.int32()) for c in zip(*where, strict=True)] + [pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([given[0], pa.array([width] * (b - a), pa.int32()), raw, *put, *given[1:]], names=["id", "width", "ids", *places, "terms", "tf", *marks])
 
     def frequencies(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         df, n, total = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for width, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
-                found = np.bincount(ids)
-                if len(found) > len(df):
-                    df = np.concatenate([df, np.zeros(len(found) - len(df), np.int64)])
-                df[: len(found)] += found > 0
-                n, total = n + 1, total + len(ids)
+            for width, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                terms = np.frombuffer(raw.as_buffer(), f"<u{width}")
+                if terms[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
+                df[terms] += 1
+                n, total = n + 1, total + size // width
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [n, total]))], names=["term", "n"])
 
-    places = [f"place{k}" for k in range(len(order))]
-    placed = "".join(f", {p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(places, order, strict=True))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(p) for p, c in zip(places, order, strict=True)))
-    encoded = staged(rows.mapInArrow(encode, f"id {kind}, width int, ids binary{placed}"), "packing-ids")
-    counted = {r["term"]: r["n"] for r in encoded.select("width", "ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    placed = "".join(f", {p} int" for p in places)
+    encoded = staged(rows.mapInArrow(encode, f"id {kind}, width int, ids binary{placed}, terms binary, tf binary{marked}"), "packing-ids")
+    counts = encoded.select("width", F.octet_length("ids").alias("size"), "terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = {r["term"]: r["n"] for r in counts.collect()}
     n_docs, total = counted.pop(-1, 0), counted.pop(-2, 0)
     df = np.zeros(max(counted, default=0) + 1)
     df[list(counted)] = list(counted.values())
-    mean = total / max(1, n_docs)
-    shards = max(1, -(-input_bytes(encoded) // SHARD_BYTES))
+    idf, mean = idf_of(df, n_docs), total / max(1, n_docs)
+    shards = max(1, CORE_SHARDS * docs.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(encoded) // SHARD_BYTES))
 
-    def number(batches: Iterator) -> Iterator:
+    def fill_shard(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        at = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            width, start = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).offset
-            ends = np.frombuffer(batch.column(2).buffers()[1], np.int32)[start : start + len(batch) + 1].astype(np.int64)
-            n = pa.array(np.arange(at, at + len(batch)))
-            yield pa.RecordBatch.from_arrays([n, pa.array(np.diff(ends) // width), *batch.columns], names=["n", "size", "id", "width", "ids"])
-            at += len(batch)
-
-    dealt = encoded.repartitionByRange(shards, *places) if places else encoded.repartition(shards, F.xxhash64("id", F.crc32("ids")))
-    dealt = dealt.sortWithinPartitions(*places, "id", "ids").select("id", "width", "ids")
-    dealt = staged(dealt.mapInArrow(number, f"n long, size long, id {kind}, width int, ids binary"), "packing-index")
-    listed = dealt.select("n", "size").toArrow()
-    names, sizes = (listed.column(k).to_numpy() for k in range(2))
-    by_name = np.argsort(names)
-    names, sizes = names[by_name], sizes[by_name]
-    made = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    spark, path = docs.sparkSession, new_path(docs.sparkSession, "packing-pieces")
-    if not len(names):
-        return spark.createDataFrame([], made).withColumnRenamed("id", id_col)
-    first = np.searchsorted(names, np.arange(int(names[-1] >> 40) + 1) << 40)
-
-    def taken(batches: Iterator, wanted: np.ndarray) -> Iterator:
-        """Numbers and ids of the documents that are wanted (bits)."""
-        for batch in batches:
-            n = batch.column(0).to_numpy()
-            n = first[n >> 40] + (n & ((1 << 40) - 1))
-            for k in np.flatnonzero(wanted[n >> 3] >> (7 - (n & 7)) & 1).tolist():
-                yield int(n[k]), np.frombuffer(batch.column(2)[k].as_py(), f"<u{batch.column(1)[k].as_py()}")
-
-    def fetched(wanted: np.ndarray, whole: bool) -> dict[int, np.ndarray]:
-        """Ids of documents, or only the distinct ones."""
-        bits = spark.sparkContext.broadcast(np.packbits(wanted))
-
-        def fetch(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            found = [(n, ids if whole else np.unique(ids)) for n, ids in taken(batches, bits.value)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([x.astype("<i4").tobytes() for _, x in found], pa.binary())], names=["n", "ids"])
+        first = TaskContext.get().partitionId() << 32
 
-        got = dealt.select("n", "width", "ids").mapInArrow(fetch, "n long, ids binary").toArrow()
-        bits.destroy()
-        return {n: np.frombuffer(raw, "<i4") for n, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
-
-    def neighbours(queries: list[np.ndarray], used: np.ndarray) -> dict[int, np.ndarray]:
-        """For each query the best unused documents of the whole corpus, the best first."""
-        sent = spark.sparkContext.broadcast((queries, np.packbits(~used), df))
-
-        def best(score: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if len(score) > FETCH:
-                k = np.argpartition(-score, FETCH - 1)[:FETCH]
-                score, doc = score[k], doc[k]
-            k = np.lexsort((doc, -score))
-            return score[k], doc[k]
-
-        def rows(found: dict):
+        def stored() -> Iterator[Doc]:
+            for batch in batches:
+                width, raw, terms, tf = (batch.column(k) for k in range(1, 5))
+                for k, w in enumerate(width.to_pylist()):
+                    ids = np.frombuffer(raw[k].as_py(), f"<u{w}")
+                    yield Doc((batch.slice(k, 1), ids), len(ids), np.frombuffer(terms[k].as_py(), f"<u{w}"), np.frombuffer(tf[k].as_py(), "<u4"))
+
+        def batch_of(pieces: list) -> pa.RecordBatch:
+            given = pa.Table.from_batches([d.key[0] for d, *_ in pieces])
+            found = [(s, n, zlib.crc32(d.key[1][s : s + n].astype("<u4").tobytes()), d.size, first + q, o) for d, s, n, q, o in pieces]
+            kept = [given.column(k).combine_chunks() for k in (0, *range(5, given.num_columns))]
+            cols = [kept[0], *(pa.array(c, pa.int64()) for c in zip(*found, strict=True)), *kept[1:]]
+            return pa.RecordBatch.from_arrays(cols, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *marks])
+
+        held = []
+        for piece in fill(stored(), window, lambda pool: Index(pool, idf, mean)):
+            held.append(piece)
+            if len(held) == 1024:
+                yield batch_of(held)
+                held = []
+        if held:
+            yield batch_of(held)
+
+    dealt = encoded.withColumn("tie", F.xxhash64("id", "ids"))
+    dealt = dealt.repartitionByRange(shards, *places, "tie").sortWithinPartitions(*places, "tie", "id", "ids").select("id", "width", "ids", "terms", "tf", *marks)
+    pieces = dealt.mapInArrow(fill_shard, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{marked}")
+    if order:
+        pieces = staged(pieces, "packing-pieces")
+
+        def number(batches: Iterator) -> Iterator:
             import pyarrow as pa
+            from pyspark import TaskContext
 
-            cols = [pa.array(list(found), pa.int32()), *(pa.array([x[k].astype(t).tobytes() for x in found.values()], pa.binary()) for k, t in ((0, "<f4"), (1, "<i8")))]
-            return pa.RecordBatch.from_arrays(cols, names=["q", "scores", "docs"])
-
-        def add(found: dict, q: int, score: np.ndarray, doc: np.ndarray) -> None:
-            if q in found:
-                score, doc = np.concatenate([found[q][0], score]), np.concatenate([found[q][1], doc])
-            found[q] = best(score, doc)
-
-        def find(batches: Iterator) -> Iterator:
-            forget_tokens()
-            asked, free, df = sent.value
-            found, held, size = {}, {}, 0
-
-            def part() -> None:
-                index, doc = Index(list(held.values()), df, n_docs, mean), np.array(list(held), np.int64)
-                for q, terms in enumerate(asked):
-                    add(found, q, *best(index.query(terms).astype(np.float32), doc))
-
-            for n, ids in taken(batches, free):
-                held[n] = ids
-                size += len(ids)
-                if size >= PART_IDS:
-                    part()
-                    held, size = {}, 0
-            if held:
-                part()
-            yield rows(found)
-
-        def merge(batches: Iterator) -> Iterator:
-            found = {}
+            at = TaskContext.get().partitionId() << 32
             for batch in batches:
-                for q, score, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    add(found, q, np.frombuffer(score, "<f4"), np.frombuffer(doc, "<i8"))
-            yield rows(found)
-
-        kept = "q int, scores binary, docs binary"
-        got = dealt.select("n", "width", "ids").mapInArrow(find, kept).repartition("q").mapInArrow(merge, kept).toArrow()
-        sent.destroy()
-        return {q: np.frombuffer(raw, "<i8") for q, raw in zip(got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True)}
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(at, at + len(batch)))], names=["sequence_id", "number"])
+                at += len(batch)
 
-    def put() -> None:
-        import pyarrow as pa
-
-        if state.pieces:
-            cols = np.array(state.pieces, np.int64).T.copy()
-            cols[0] = names[cols[0]]
-            piece = pa.table(list(map(pa.array, cols)), names=["n", "start", "length", "sequence_id", "offset"])
-            spark.createDataFrame(piece).coalesce(1).write.mode("append").parquet(path)
-            state.pieces = []
-
-    state, waiting, terms = Packing(sizes, window), [], {}
-    while state.unused and state.unused_ids * 2 > SHARD_BYTES:
-        seeds = state.seeds(max(1, min(SEEDS, 1 + state.unused // 16) - len(waiting)))
-        asked = [w.seed for w in waiting] + seeds
-        wanted = np.zeros(len(sizes), bool)
-        wanted[[d for d in asked if d not in terms]] = True
-        terms = {d: terms[d] for d in asked if d in terms} | (fetched(wanted, False) if wanted.any() else {})
-        near = neighbours([terms[d] for d in asked], state.used)
-        again = []
-        for q, w in enumerate([*waiting, *seeds]):
-            w = state.start(w) if isinstance(w, int) else w
-            w = state.serve(w, near[q]) if w else None
-            if w:
-                again.append(w)
-        waiting = again
-        put()
-    if state.unused:
-        wanted = ~state.used
-        wanted[[w.seed for w in waiting]] = True
-        held = fetched(wanted, True)
-        free = np.flatnonzero(~state.used)
-        index = Index([held[d] for d in free.tolist()], df, n_docs, mean)
-        while state.unused:
-            w = waiting.pop(0) if waiting else state.start(state.seeds(1)[0])
-            if w:
-                again = state.serve(w, free[np.argsort(-index.query(np.unique(held[w.seed])), kind="stable")])
-                waiting[:0] = [again] if again else []
-    state.end(waiting)
-    put()
-
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            at, out = [], []
-            for k, (width, raw, pieces) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True)):
-                ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
-                for x in pieces:
-                    at.append(k)
-                    out.append((x["start"], x["length"], zlib.crc32(ids[x["start"] : x["start"] + x["length"]].astype("<u4").tobytes()), len(ids), x["sequence_id"], x["offset"]))
-            cols = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    pieces = spark.read.schema("n long, start long, length long, sequence_id long, offset long").parquet(path)
-    pieces = pieces.groupBy("n").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    return dealt.join(pieces, "n").select("id", "width", "ids", "pieces").mapInArrow(cut, made).withColumnRenamed("id", id_col)
+        seeds = pieces.filter("offset = 0").select("sequence_id", *marks).repartitionByRange(*marks, "sequence_id").sortWithinPartitions(*marks, "sequence_id")
+        numbers = seeds.select("sequence_id").mapInArrow(number, "sequence_id long, number long")
+        pieces = pieces.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number"))
+    return pieces.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -9,29 +9,31 @@ from functools import lru_cache
 import numpy as np
 import zstandard
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 #: Bits of a plane that are compressed, and read, together.
 BLOCK = 1 << 16
 _HEAD = struct.Struct("<4sBxxxQQ")
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
+def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, known: np.ndarray | None = None) -> bytes:
     """The file of a shard: header, document table, then for each bit-plane (highest first) its blocks' ranks, places and bits.
 
     In every plane the ids are in the order that the planes above left: those with a 0 first, each part in its old order.
+    ``known`` tells the documents that have an id.
     """
     n, planes = len(ids), max(1, int(ids.max()).bit_length() if len(ids) else 1)
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    table = squeeze(np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<i8").tobytes())
+    known = np.ones(len(doc_ids), bool) if known is None else known
+    table = squeeze(np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<i8").tobytes() + known.tobytes())
     out = [_HEAD.pack(MAGIC, planes, n, len(doc_ids)), struct.pack("<Q", len(table)), table]
     v = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for p in range(planes - 1, -1, -1):
         bits = (v >> v.dtype.type(p)) & v.dtype.type(1) != 0
-        zeros, ones = v[~bits], v[bits]
+        zeros, ones = v.compress(~bits), v.compress(bits)
         packed = np.packbits(bits)
         step = BLOCK // 8
         blocks = [squeeze(packed[a : a + step].tobytes()) for a in range(0, max(1, len(packed)), step)]
-        counts = np.add.reduceat(bits, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(1, np.int64)
+        counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), step), dtype=np.int64) if n else np.zeros(1, np.int64)
         ranks = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
         places = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<i8")
         body = ranks.tobytes() + places.tobytes() + b"".join(blocks)
@@ -50,8 +52,8 @@ class Shard:
         self.data, at = data, _HEAD.size
         (size,) = struct.unpack_from("<Q", data, at)
         raw = zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size])
-        both = np.frombuffer(raw, "<i8")
-        self.doc_ids, self.lengths = both[: self.n_docs], both[self.n_docs :]
+        self.doc_ids, self.lengths = np.frombuffer(raw, "<i8", self.n_docs), np.frombuffer(raw, "<i8", self.n_docs, 8 * self.n_docs)
+        self.known = np.frombuffer(raw, bool, self.n_docs, 16 * self.n_docs)
         at += 8 + size
         self.blocks = max(1, -(-self.n // BLOCK))
         self.at = []
@@ -123,18 +125,18 @@ class Shard:
         """All ids: the planes are undone from the lowest to the highest."""
         v = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for p in range(self.planes - 1, -1, -1):
-            bits = np.concatenate([self._read(p, b) for b in range(self.blocks)]).astype(bool) if self.n else np.zeros(0, bool)
+            bits = np.concatenate([self._read(p, b) for b in range(self.blocks)]).view(bool) if self.n else np.zeros(0, bool)
             up = np.empty_like(v)
-            up[~bits], up[bits] = v[: self.zeros[p]], v[self.zeros[p] :]
+            up[np.flatnonzero(~bits)], up[np.flatnonzero(bits)] = v[: self.zeros[p]], v[self.zeros[p] :]
             up |= bits.astype(v.dtype) << v.dtype.type(self.planes - 1 - p)
             v = up
         return v
 
     def documents(self):
-        """(doc_id, first id's place, ids) of each document."""
+        """(doc_id or None, first id's place, ids) of each document."""
         ids, at = self.ids(), 0
-        for d, n in zip(self.doc_ids.tolist(), self.lengths.tolist(), strict=True):
-            yield d, at, ids[at : at + n]
+        for d, n, known in zip(self.doc_ids.tolist(), self.lengths.tolist(), self.known.tolist(), strict=True):
+            yield d if known else None, at, ids[at : at + n]
             at += n
 
 

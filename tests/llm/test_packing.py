@@ -35,44 +35,122 @@ def holds(rows, docs, window):
         assert end & (end - 1) == 0  # full windows and remainders alike
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_fill(seed):
+def made(key, ids):
+    return P.Doc(key, len(ids), *P.terms_of(np.array(ids, np.uint16)))
+
+
+class Noise:
+    """Scores that mean nothing, the same for the same seed."""
+
+    def __init__(self, pool):
+        self.n = len(pool)
+
+    def query(self, terms):
+        return np.random.default_rng(int(terms[0])).random(self.n)
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("most", [1, 300, 1 << 30])
+def test_fill(seed, most):
     rnd = random.Random(seed)
     sizes = [rnd.choice([1, 2, 5, 30, 64, 65, 200, 1000]) for _ in range(rnd.randint(0, 80))]
-    order = np.random.default_rng(seed)
-    pieces = list(P.fill(sizes, 64, lambda d: order.random(len(sizes))))
-    docs = {d: list(range(n)) for d, n in enumerate(sizes)}
-    holds([(d, s, n, zlib.crc32(np.array(docs[d][s : s + n], "<u4").tobytes()), sizes[d], q, o) for d, s, n, q, o in pieces], docs, 64)
+    docs = {d: list(range(d, d + n)) for d, n in enumerate(sizes)}
+    pieces = list(P.fill((made(d, x) for d, x in docs.items()), 64, Noise, most))
+    holds([(d.key, s, n, zlib.crc32(np.array(docs[d.key][s : s + n], "<u4").tobytes()), d.size, q, o) for d, s, n, q, o in pieces], docs, 64)
+
+
+def plain_packing(docs, window, score):
+    """The rule of the windows, word for word: all documents are looked at for each place."""
+    unused, out, sequence, left, parts = list(range(len(docs))), [], 0, window, []
+
+    def put(d, start, n):
+        nonlocal sequence, left, parts
+        out.append((d, start, n, sequence, window - left))
+        left -= n
+        if not left:
+            sequence, left = sequence + 1, window
+
+    rest = None
+    while unused or rest:
+        seed, at = rest or (unused.pop(0), 0)
+        rest = None
+        while at < len(docs[seed]):
+            n = min(left, len(docs[seed]) - at)
+            put(seed, at, n)
+            at += n
+        began = sequence
+        while left < window and unused and sequence == began:
+            ranked = sorted(unused, key=lambda d: (-score(seed, d), d))
+            d = next((d for d in ranked if len(docs[d]) <= left), ranked[0])
+            unused.remove(d)
+            n = min(left, len(docs[d]))
+            put(d, 0, n)
+            if n < len(docs[d]):
+                rest = d, n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fill_is_the_plain_packing(seed):
+    """With all documents in the index, up to the last sequence, which is cut into powers of two."""
+    rnd = random.Random(seed)
+    docs = [[rnd.randint(0, 60) for _ in range(rnd.choice([1, 3, 8, 20, 33, 70]))] for _ in range(60)]
+    df = np.zeros(61)
+    for d in docs:
+        df[sorted(set(d))] += 1
+    mean, idf = np.mean([len(d) for d in docs]), P.idf_of(df, len(docs))
+    index = P.Index([made(k, d) for k, d in enumerate(docs)], idf, mean)
+    got = [(d.key, *x) for d, *x in P.fill((made(k, d) for k, d in enumerate(docs)), 32, lambda pool: P.Index(pool, idf, mean), 1 << 30)]
+    want = plain_packing(docs, 32, lambda q, d: index.query(np.unique(np.array(docs[q], np.uint16)))[d])
+    full = sum(map(len, docs)) // 32
+    assert [x for x in got if x[3] < full] == [x for x in want if x[3] < full]
+    assert full > 20
+
+
+def bm25(query, doc, docs, df):
+    mean = np.mean([len(d) for d in docs])
+    return sum(max(0, np.log((len(docs) - df[t] + 0.5) / (df[t] + 0.5))) * doc.count(t) * (P.K1 + 1) / (doc.count(t) + P.K1 * (1 - P.B + P.B * len(doc) / mean)) for t in set(query))
 
 
 def test_scores_are_bm25():
-    docs = [np.array(x, np.uint16) for x in ([1, 2, 2, 3], [2, 3, 4], [5, 6], [1, 1, 5, 7], [8], [9, 9])]
+    docs = [[1, 2, 2, 3], [2, 3, 4], [5, 6], [1, 1, 5, 7], [8], [9, 9]]
     df = np.bincount(np.concatenate([np.unique(d) for d in docs])).astype(float)
-    mean = np.mean([len(d) for d in docs])
-    index = P.Index(docs, df, len(docs), mean)
-    for s, q in enumerate(docs):
-        for d, x in enumerate(docs):
-            want = sum(
-                max(0, np.log((6 - df[t] + 0.5) / (df[t] + 0.5))) * (x == t).sum() * (P.K1 + 1) / ((x == t).sum() + P.K1 * (1 - P.B + P.B * len(x) / mean)) for t in np.unique(q)
-            )
-            assert index.scores(s)[d] == pytest.approx(want, rel=1e-5)
+    index = P.Index([made(k, d) for k, d in enumerate(docs)], P.idf_of(df, len(docs)), np.mean([len(d) for d in docs]))
+    for q in docs:
+        assert index.query(np.unique(np.array(q, np.uint16))) == pytest.approx([bm25(q, d, docs, df) for d in docs], rel=1e-9)
 
 
 def test_neighbours_share_a_window():
     a, b = [f"{'alpha beta gamma delta'} a{i}" for i in range(6)], [f"{'one two three four'} b{i}" for i in range(6)]
     lib = Tokenizer.from_file(PATH)
-    docs = [np.array(lib.encode(t, add_special_tokens=False).ids + [1], np.uint16) for p in zip(a, b) for t in p]
+    docs = [made(k, lib.encode(t, add_special_tokens=False).ids + [1]) for k, t in enumerate(t for p in zip(a, b) for t in p)]
     df = np.zeros(50_000)
     for d in docs:
-        df[np.unique(d)] += 1
-    index = P.Index(docs, df, 24, 6)
-    pieces = list(P.fill([len(d) for d in docs], 8, index.scores))
+        df[d.terms] += 1
     kinds = {}
-    for d, _, _, q, _ in pieces:
-        kinds.setdefault(q, set()).add(d % 2)
+    for d, _, _, q, _ in P.fill(docs, 8, lambda pool: P.Index(pool, P.idf_of(df, 24), 6)):
+        kinds.setdefault(q, set()).add(d.key % 2)
     assert sum(len(k) == 1 for k in kinds.values()) > len(kinds) * 0.8
 
 
+def test_like_documents_share_a_place():
+    """Topics of their own words, and near copies with a tenth of the words changed."""
+    rnd = random.Random(4)
+    docs = []
+    for _ in range(80):
+        base = rnd.randrange(4) * 100
+        x = [rnd.randrange(base, base + 100) for _ in range(60)]
+        docs += [x, [t if rnd.random() < 0.9 else rnd.randrange(400, 500) for t in x]]
+    sample = [P.terms_of(np.array(x, np.uint16)) for x in docs]
+    routing = P.Routing(sample, 500)
+    where = [routing.place(*t, len(x)) for t, x in zip(sample, docs, strict=True)]
+    order = sorted(range(160), key=lambda k: where[k])
+    at = {d: k for k, d in enumerate(order)}
+    apart = [abs(at[2 * k] - at[2 * k + 1]) for k in range(80)]
+    assert np.median(apart) < 8  # 53 if dealt by chance
+    assert routing.place(np.zeros(0, np.uint16), np.zeros(0, np.int64), 0)[1:] == (-1, -1, -1, -1)
+
+
 @pytest.mark.parametrize("shard", [1 << 30, 1 << 8])
 def test_table(spark, monkeypatch, shard):
     monkeypatch.setattr(P, "SHARD_BYTES", shard)
@@ -89,10 +167,10 @@ def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH, 1).count() == 0
 
 
-def test_neighbours_come_from_the_whole_corpus(spark, monkeypatch):
-    """Two documents of each topic, far apart in an index of many files and parts; a window holds two."""
-    monkeypatch.setattr(P, "SHARD_BYTES", 1 << 8)
-    monkeypatch.setattr(P, "PART_IDS", 64, raising=False)
+def test_neighbours_meet_in_a_shard(spark, monkeypatch):
+    """Two documents of each topic, far apart in the table; a window holds two, and the index a few at a time."""
+    monkeypatch.setattr(P, "POOL_IDS", 64)
+    monkeypatch.setattr(P, "CORE_SHARDS", 0)
     lib = Tokenizer.from_file(PATH)
     words = [w for w in ("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=2)) for i in range(4000)) if len(lib.encode(" " + w, add_special_tokens=False).ids) == 1]
     words = sorted(set(words))[:240]
@@ -103,3 +181,13 @@ def test_neighbours_come_from_the_whole_corpus(spark, monkeypatch):
     for r in P.pack(df, PATH, 1, 32).collect():
         windows.setdefault(r["sequence_id"], set()).add(r["doc_id"])
     assert sorted(map(sorted, windows.values())) == [[i, i + 1000] for i in range(60)]
+
+
+def test_sequences_follow_an_order(spark):
+    rows = [(i, f"word{i} " * 9, 500 - i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mix long")
+    got = [tuple(r) for r in P.pack(df, PATH, 1, 64, order=("mix",)).collect()]
+    lib = Tokenizer.from_file(PATH)
+    holds(got, {d: lib.encode(t, add_special_tokens=False).ids + [1] for d, t, _ in rows}, 64)
+    seeds = [d for d, _, _, _, _, q, offset in sorted(got, key=lambda r: r[5]) if offset == 0]
+    assert seeds == sorted(seeds, reverse=True)
