@@ -40,11 +40,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget_tokens() -> None:
-    """Drops the token caches that a reused worker may hold from packing or encoding; they are made anew when needed."""
+    """Drops what a reused worker may hold from encoding; it is made anew when needed."""
     encoding = sys.modules.get("tessera.llm.encoding")
-    if encoding is not None and encoding._encoders:
-        encoding._encoders.clear()
-        gc.collect()
+    if encoding is not None:
+        encoding.forget()
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -19,6 +19,7 @@ _CLASS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = _LETTER
 _CLASS[list(b"0123456789")] = _DIGIT
 _CLASS[32], _CLASS[9:14] = _SPACE, _BLANK
 _CLASS[39] = _CLASS[28:32] = _CLASS[128:] = _HARD  # apostrophes begin contractions; the rest is for the library to class
+_SOLID = ~np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 
 
 class Encoder:
@@ -35,6 +36,7 @@ class Encoder:
     def __init__(self, path: str):
         import pyarrow as pa
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
         with open(path) as f:
@@ -55,6 +57,14 @@ class Encoder:
         for token, i in model["vocab"].items():
             self.marked[i] = mark(token)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        # Of two neighbouring classes: 1 a unit begins between them, 2 they make a run of white space.
+        self.pairs = np.zeros(64, np.uint8)
+        for x in range(6):
+            for y in range(6):
+                begins = x != _SPACE and (x != y or (y == _DIGIT and not self.joined))
+                self.pairs[x << 3 | y] = begins | (2 if self.joined and {x, y} <= {_SPACE, _BLANK} else 0)
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
         self.units = pa.array([], pa.string())
         self.ids, self.starts, self.lens, self.used = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.now = 0
@@ -63,25 +73,35 @@ class Encoder:
         found = [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
         return np.array([i for x in found for i in x], self.dtype), np.array([len(x) for x in found], np.int64)
 
-    def _words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of words of letters, many in one call: a word's first (or last) token is known by its space sign (or word end)."""
+    def _words(self, words: list[str], ascii_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words of Latin letters, many in one call: a word's first (or last) token is known by its space sign (or
+        word end). Those of ASCII need nothing but the library's model, as its bytes stand for themselves."""
         for a in range(0, len(words), _TOGETHER):
             part = words[a : a + _TOGETHER]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            text = "".join(part)
+            if ascii_only:
+                found = self.bare.encode_batch_fast([text.replace(" ", " Ġ") if self.joined else text])[0].ids
+            else:
+                found = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(found, self.dtype)
             at = np.flatnonzero(self.marked[ids])
             yield (ids, np.diff(np.append(at, len(ids)) if self.joined else np.append(-1, at))) if len(at) == len(part) else self._each(part)
 
     def _learn(self, new: list[str]) -> None:
         import pyarrow as pa
 
-        words, others = [], []
+        ascii_, latin, others = [], [], []
         for u in new:
-            plain = u[:1] == " " and u[1:].isalpha() and (u.isascii() or (max(u) < "ɐ" and "İ" not in u))
-            (words if plain else others).append(u)
-        found = [(self.ids, self.lens), *self._words(words)] + ([self._each(others)] if others else [])
+            if u[:1] != " " or not u[1:].isalpha():
+                others.append(u)
+            elif u.isascii():
+                ascii_.append(u)
+            else:
+                (latin if max(u) < "ɐ" and "İ" not in u else others).append(u)
+        found = [(self.ids, self.lens), *self._words(ascii_, True), *self._words(latin, False)] + ([self._each(others)] if others else [])
         self.ids, self.lens = (np.concatenate(x) for x in zip(*found, strict=True))
         self.starts = np.cumsum(self.lens) - self.lens
-        self.units = pa.concat_arrays([self.units, pa.array(words + others, pa.string())])
+        self.units = pa.concat_arrays([self.units, pa.array(ascii_ + latin + others, pa.string())])
         self.used = np.append(self.used, np.full(len(new), self.now))
 
     def _forget(self) -> None:
@@ -103,39 +123,44 @@ class Encoder:
         """Starts of the units, and the bytes with the letters of plain chunks in lower case where the library lowers them."""
         n = len(data)
         cls = _CLASS[data]
-        solid = (cls != _SPACE) & (cls != _BLANK)  # surely not white space
-        if (data >= 128).any():
+        rows = offsets[:-1][np.diff(offsets) > 0]
+        odd = np.zeros(0, np.int64)
+        if int(data.max()) >= 128:
             after = np.append(data[1:], 0)
-            two = np.flatnonzero((data >= 0xC3) & (data <= 0xC9) & ~((data == 0xC3) & ((after == 0x97) | (after == 0xB7))) & ~((data == 0xC4) & (after == 0xB0)))
+            two = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+            two = two[~((data[two] == 0xC3) & ((after[two] == 0x97) | (after[two] == 0xB7))) & ~((data[two] == 0xC4) & (after[two] == 0xB0))]
             cls[two] = cls[two + 1] = _LETTER
             odd = np.flatnonzero(((data >= 0xE1) & (data <= 0xE3)) | ((data == 0xC2) & ((after == 0x85) | (after == 0xA0))))
-            solid[odd] = solid[odd + 1] = solid[np.minimum(odd + 2, n - 1)] = False
-        solid[(data >= 28) & (data < 32)] = False
-        first = np.zeros(n, bool)
-        first[offsets[:-1][np.diff(offsets) > 0]] = True
-        space = cls == _SPACE
-        chunk = first.copy()
+        spaces = np.flatnonzero(cls == _SPACE)
+        chunk = np.zeros(n, bool)
         if self.joined:
-            chunk[1:-1] |= space[1:-1] & solid[:-2] & solid[2:] & ~first[1:-1] & ~first[2:]
+            solid = _SOLID[data]  # surely not white space
+            solid[odd] = solid[np.minimum(odd + 1, n - 1)] = solid[np.minimum(odd + 2, n - 1)] = False
+            inside = spaces[(spaces > 0) & (spaces < n - 1)]
+            inside = inside[solid[inside - 1] & solid[inside + 1]]
+            chunk[inside] = True
+            chunk[rows[rows > 0] - 1] = False  # a row that ends in a space
         else:
-            chunk |= space
-        hard = cls == _HARD
-        hard[1:] |= (data[1:] == 124) & (data[:-1] == 60)  # <| may begin a special token
-        if self.joined:
-            white = space | (cls == _BLANK)
-            hard[1:] |= white[1:] & white[:-1] & ~first[1:]
-            hard |= space & ~chunk
-        starts = np.flatnonzero(chunk)
-        easy = np.add.reduceat(hard, starts, dtype=np.int32) == 0
-        inner = np.zeros(n, bool)
-        inner[1:] = (cls[1:] != cls[:-1]) & ~(space[:-1] & chunk[:-1])
-        if not self.joined:
-            inner[1:] |= (cls[1:] == _DIGIT) & ~(space[:-1] & chunk[:-1])
-        if not easy.all():
-            easy = np.repeat(easy, np.diff(np.append(starts, n)))
-            inner &= easy
+            chunk[spaces] = True
+        chunk[rows] = True
+        pair = self.pairs[cls[:-1] << 3 | cls[1:]]
+        pair[rows[rows > 0] - 1] = 0  # no pair reaches over the border of rows
+        hard = np.flatnonzero(cls == _HARD)
+        hard = [hard, np.flatnonzero(pair & 2) + 1, spaces[~chunk[spaces]] if self.joined else hard[:0]]
+        special = np.flatnonzero(data[1:] == 124) + 1  # <| may begin a special token
+        hard = np.concatenate([*hard, special[data[special - 1] == 60]])
+        inner = np.append(False, pair & 1).view(bool)
+        kept = data
         if not self.joined:
-            data = np.where(easy, _LOWER[data], data) if len(easy) == n else _LOWER[data]
+            data = _LOWER[data]
+        if len(hard):  # such chunks stay whole, and as they are
+            starts = np.flatnonzero(chunk)
+            which = np.unique(np.searchsorted(starts, hard, side="right") - 1)
+            size = np.append(starts[1:], n)[which] - starts[which]
+            at = np.repeat(starts[which] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            inner[at] = False
+            if not self.joined:
+                data[at] = kept[at]
         return np.flatnonzero(inner | chunk), data
 
     def encode_rows(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -183,6 +208,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Drops what a reused worker holds for encoding; it is made anew when needed."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
     if path not in _encoders:
