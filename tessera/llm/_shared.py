@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,27 +16,53 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share; a folder of our own only in local mode, where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_folders[-1] if _folders else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ours that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Tables staged inside go to a folder of their own, which is removed at the end; results must be written before."""
+    _folders.append(new_path(spark, name))
+    try:
+        yield
+    finally:
+        remove(spark, _folders.pop())
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
+    """``df`` written as a table in the shared folder and read back: lineage ends there, and a lost executor loses nothing.
+
+    The shuffle files behind the table serve nothing once it is written, and go with the end of the query.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    # The shuffle files behind the table serve nothing any more; they go once the driver has collected their plan.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path, key = new_path(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,7 +84,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is two grouped minima with
     map-side combining and joins on the node, so a star around one node is not gathered in one task by the
-    aggregation, and adaptive execution may split the join. Rounds end when the edges no longer change.
+    aggregation, and adaptive execution may split the join. Rounds end when all edges lead to their component's
+    smallest node.
     """
     spark = edges.sparkSession
 
@@ -72,19 +100,17 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             out = e.join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(low.select(F.col("a"), F.col("m")))
         return out.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 31) - 1)))).first())
+    def done(e: DataFrame) -> bool:
+        """Every edge leads to a node that is the end of all of its own: the components are stars."""
+        nodes = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(e.select("b", F.lit(0)))
+        return nodes.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).filter("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
 
     u, v = edges.columns[:2]
-    now = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a != b").distinct()
-    now = staged(now, name)
-    seen = mark(now)
-    while seen[0]:
-        now = staged(halved(halved(now, True), False), name)
-        after = mark(now)
-        if after == seen:
-            break
-        seen = after
+    now = staged(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a != b").distinct(), name)
+    while not done(now):
+        before, now = now, staged(halved(halved(now, True), False), name)
+        for path in {f.rsplit("/", 1)[0] for f in before.inputFiles()}:
+            remove(spark, path)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 

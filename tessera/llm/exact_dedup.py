@@ -37,3 +37,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return members.join(one, ["h", "s"]).select(
         F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("s").alias("text_sha256")
     )
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The whole rows that ``exact_dedup`` keeps, one for each text: that with the smallest id.
+
+    Rows without an id come last; of rows that are alike in the id, that with the smaller raw text stays, and of rows
+    alike in both any one. Texts are grouped by hash and bytes as above; copies are reduced to their best row before
+    the exchange, so a text with any number of copies sends one row for each input partition, and each text is moved
+    once. Any further columns, whatever their names, are carried.
+    """
+    text, given = normalised(F.col(text_col)), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(given.alias("given"), text.alias("t")).select("given", "t", F.md5(F.encode("t", "UTF-8")).alias("h"))
+    order = F.struct(F.col(f"given.{id_col}").isNull(), F.col(f"given.{id_col}"), F.col(f"given.{text_col}"))
+    best = keyed.groupBy("h", "t").agg(F.min_by("given", order).alias("given"))
+    return best.select(*(F.col(f"given.`{c}`").alias(c) for c in docs.columns))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm._shared import batch_bytes, chunks_of, slice_hashes, staged
 
@@ -170,6 +171,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(words, np.array(weights), np.array(bias)) if weights else None
 
 
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, in a column ``given``, with held_out, score (0 to 1) and predicted (1 from 0.5 on).
+
+    The table is scored where it is read, without an exchange or a join, so rows are told apart whatever their ids.
+    See ``toxicity`` for the cases.
+    """
+    model = fit(docs, labels, id_col, text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            given = batch.column(0)
+            texts = pa.RecordBatch.from_arrays([given, batch.column(1), given.field(at)], names=["given", "held_out", "text"])
+            if model is None:
+                yield pa.RecordBatch.from_arrays([given, batch.column(1), pa.array(np.zeros(batch.num_rows))], names=["given", "held_out", "score"])
+            else:
+                for part, row, place in _features([texts], model.words):
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(model.score(row, place, part.num_rows))], names=["given", "held_out", "score"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"), (fold(id_col) == 0).alias("held_out"))
+    made = T.StructType([rows.schema["given"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, made).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
@@ -179,20 +206,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     repeat an id get a row each; labels that are null teach nothing. An empty table gives no rows; further columns
     are not read.
     """
-    model = fit(docs, labels, id_col, text_col)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        if model is None:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows))], names=["id", "held_out", "score"])
-        else:
-            for part, row, place in _features(batches, model.words):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(model.score(row, place, part.num_rows))], names=["id", "held_out", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), (fold(id_col) == 0).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double").select(
-        F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    found = scored(docs.select(id_col, text_col), labels, id_col, text_col)
+    return found.select(F.col(f"given.{id_col}").alias(id_col), "held_out", "score", "predicted")

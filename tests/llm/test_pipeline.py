@@ -112,3 +112,78 @@ def test_toxicity_learns_and_holds_out(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(df, none).collect()} == {0.0}
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
+
+
+def odd_rows():
+    """Nulls, empty texts, repeated rows and ids, toxic and near copies without an id; columns with the stages' own names."""
+    base = "the quick brown fox jumps over the lazy dog and runs through the green field to the old barn by the river ".split()
+    near = " ".join(base * 6)
+    rows = [(i, f"w{i} " * 30 + " ".join(f"v{i}x{j}" for j in range(30)), f"src{i % 4}") for i in range(40)]
+    rows += [(50, near, "src0"), (51, near + "once more", "src1"), (None, near + "again", None), (60, "same text", "src0"), (60, "same text", "src0"), (61, "same  text", "src1"), (None, "same text", "src1")]
+    rows += [(None, "no id at all", None), (None, "no id at all", None), (70, "first of two", "src2"), (70, "second of two", "src2"), (71, None, "src2"), (72, "", None), (73, "   ", "src3"), (None, None, None)]
+    return [(d, t, "en", s, len(t or ""), 7, "p", i, {"a": i}) for i, (d, t, s) in enumerate(rows)]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, position int, mix_source string, score int, given map<string,int>"
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_stages_on_odd_tables(spark, tmp_path, written):
+    labels = tmp_path / "in"
+    spark.createDataFrame([(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(labels / "labels.parquet"))
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    rows = odd_rows()
+    for k, (name, stage) in enumerate(C.STAGES):
+        out = stage(spark, docs, str(labels))
+        if written:
+            out.write.parquet(str(tmp_path / str(k)))
+            out = spark.read.parquet(str(tmp_path / str(k)))
+        got = [tuple(r) for r in out.collect()]
+        if name == "packing":
+            lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            totals = sorted((r[0] is not None, r[0] or 0, r[4]) for r in got if r[1] == 0)
+            assert totals == sorted((d is not None, d or 0, len(lib.encode(t or "", add_special_tokens=False).ids) + 1) for d, t, *_ in rows)
+            break
+        assert out.columns == docs.columns
+        if name == "exact dedup":
+            best = {}
+            for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
+                best.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), r)
+            assert sorted((r[:2] for r in got), key=str) == sorted((r[:2] for r in best.values()), key=str)
+            rows = got
+        elif name == "n-gram join":
+            kept = [r for r in rows if r[0] != 51]
+            assert sorted(got, key=str) == sorted(kept, key=str)
+            rows = kept
+        else:
+            assert sorted(got, key=str) == sorted(rows, key=str)
+        docs = out
+
+
+def test_toxic_rows_without_an_id_go(spark, tmp_path):
+    words = [f"w{i}" for i in range(200)]
+    rnd = np.random.default_rng(2)
+    rows = [(i, " ".join(rnd.choice(words, 30)) + (" vile rotten" if i % 5 == 0 else ""), "x", "s", 1) for i in range(900)]
+    spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(0, 900, 3)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows += [(None, "vile rotten " + rows[1][1], "x", "s", 1), (None, rows[2][1], "x", "s", 1), (1, "vile rotten w1", "x", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(r["doc_id"], r["text"]) for r in C.clean(spark, docs, str(tmp_path)).collect()}
+    assert {r[:2] for r in rows[-3:]} & kept == {rows[-2][:2]}
+    assert rows[1][:2] in kept
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    import os
+
+    from tessera.llm import _shared
+
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: str(tmp_path))
+    found = C.run(spark, SF)
+    assert found.count() > 0
+    assert [d.rsplit("-", 1)[0] for d in os.listdir(tmp_path)] == ["pipeline-packing"]
