@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import _BYTE, _powers, batch_bytes, chunks_of, mixed, staged
 
-#: Bytes of context that an index holds, about, and contexts that one anchor may bring to an index; anchors with more
-#: are compared window by window, in a grouping that has no hot group.
-INDEX_BYTES, ANCHOR_CONTEXTS = 4 << 20, 20_000
-#: Bytes of a long document that are looked at together.
-PIECE = 1 << 22
+#: Bytes of context that an index holds at once, up to twice as many, and bytes for each task of indexes.
+INDEX_BYTES, TASK_BYTES = 1 << 19, 1 << 26
+#: Bytes of texts that are looked at together.
+PIECE = 1 << 19
 
 
 class Hashes:
@@ -74,12 +73,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffixes of all segments in order, by doubling; ``ends`` has the end of each place's segment. A segment's end is smaller than all bytes, and each end is another one."""
     n = len(data)
-    wide = np.zeros(n + 7, np.int64)
-    wide[:n] = data.astype(np.int64) + 1
-    key, spot = np.zeros(n, np.int64), np.arange(n)
-    for k in range(7):
-        key = key << 9 | np.where(spot + k < ends, wide[k : k + n], 0)
-    order = np.argsort(key, kind="stable")
+    spot = np.arange(n)
+    one, h = data.astype(np.int64) + 1, 6
+
+    def then(left, right, k, more):
+        """Keys with those of ``more`` bytes that begin k bytes further on."""
+        return left << 9 * more | np.where(spot + k < ends, np.append(right[k:], np.zeros(min(k, n), np.int64)), 0)
+
+    two = then(one, one, 1, 1)
+    key = then(then(two, two, 2, 2), two, 4, 2)
+    order = np.argsort(key)
     rank, at = np.empty(n, np.int64), np.arange(n)
 
     def renumber(order_, key_, base):
@@ -92,7 +95,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return tied
 
     tied = renumber(order, key[order], at)
-    sa, h = order, 7
+    sa = order
     left = np.flatnonzero(tied)
     segment = np.cumsum(np.append(0, ends[1:] != ends[:-1])) if n else np.zeros(0, np.int64)
     n_segments = int(segment[-1]) + 1 if n else 0
@@ -100,7 +103,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         i = sa[left]
         after = np.where(i + h < ends[i], rank[np.minimum(i + h, n - 1)] + n_segments, segment[i])
         key = rank[i] * (n + n_segments) + after
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         sa[left] = i[o]
         still = renumber(i[o], key[o], left)
         left = left[still]
@@ -113,10 +116,11 @@ class RunIndex:
 
     Where a suffix and its neighbours in the order follow the same byte, the suffix one byte to the left matches one
     byte more. So the longest match of a place is known from the nearest place to its left that stands at the end of
-    a run, less the distance: only run ends are sampled.
+    a run, less the distance: only run ends are sampled. Matches shorter than ``least`` count as none: a sample whose
+    neighbours differ within so many bytes is not measured.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, least: int = 1):
         self.data, self.starts = data, starts
         n = len(data)
         ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
@@ -124,28 +128,39 @@ class RunIndex:
         before = data[sa - 1].astype(np.int64)
         begin = np.zeros(n, bool)
         begin[starts] = True
-        before[begin[sa]] = -1 - np.arange(len(starts))
+        first = begin[sa]
+        before[first] = -1 - np.arange(int(first.sum()))
         new = np.append(True, before[1:] != before[:-1]) if n else np.zeros(0, bool)
         self.heads, self.chars = np.flatnonzero(new), before[new]
-        at = np.unique(np.concatenate([self.heads, np.append(self.heads[1:], n) - 1])) if n else self.heads
+        new[:-1] |= new[1:]  # the last of each run as well
+        new[-1:] = True
+        at = np.flatnonzero(new)
         h = Hashes(data)
         match = np.zeros(len(at), np.int64)
         for step in (-1, 1):
-            ok = (at + step >= 0) & (at + step < n)
-            i, j = sa[at[ok]], sa[at[ok] + step]
-            match[ok] = np.maximum(match[ok], common(h, i, j, np.minimum(ends[i] - i, ends[j] - j)))
-        order = np.argsort(sa[at])
-        self.places, self.matches = sa[at][order], match[order]
+            k = np.flatnonzero((at + step >= 0) & (at + step < n))
+            i, j = sa[at[k]], sa[at[k] + step]
+            most = np.minimum(ends[i] - i, ends[j] - j)
+            long = np.flatnonzero(most >= least)
+            k, i, j, most = k[long], i[long], j[long], most[long]
+            same = np.flatnonzero(h.raw(i, i + least) == h.raw(j, j + least))
+            k, i, j, most = k[same], i[same], j[same], most[same]
+            match[k] = np.maximum(match[k], common(h, i, j, most, least))
+        sampled = np.full(n, -1)
+        sampled[sa[at]] = match
+        self.places = np.flatnonzero(sampled >= 0)
+        self.matches = sampled[self.places]
 
     def statistics(self) -> np.ndarray:
-        """For each place the length of the longest string that starts there and somewhere else."""
-        near = np.searchsorted(self.places, np.arange(len(self.data)), side="right") - 1
-        return self.matches[near] - (np.arange(len(self.data)) - self.places[near])
+        """For each place the length of the longest string that starts there and somewhere else, where it is the least or more; less otherwise."""
+        n = len(self.data)
+        gap = np.diff(np.append(self.places, n))
+        return np.repeat(self.matches + self.places, gap) - np.arange(n) if n else np.zeros(0, np.int64)
 
 
-def common(h: Hashes, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Bytes that agree from i and j on, ``most`` at most."""
-    low, high = np.zeros(len(i), np.int64), most.copy()
+def common(h: Hashes, i: np.ndarray, j: np.ndarray, most: np.ndarray, least: int = 0) -> np.ndarray:
+    """Bytes that agree from i and j on, ``most`` at most; ``least`` are known to agree."""
+    low, high = np.full(len(i), least), most.copy()
     while (low < high).any():
         mid = (low + high + 1) // 2
         same = h.raw(i, i + mid) == h.raw(j, j + mid)
@@ -166,141 +181,155 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
 
     A byte is in a span if a string of ``length`` bytes that covers it also starts at another place of any document.
 
-    1. Every window of that length has an anchor that depends on its bytes alone; equal windows share it.
-    2. Anchors are grouped by hash and context, pre-aggregated. What stands in equal contexts is repeated as it is.
-       An anchor that is alone needs nothing more. What is left are contexts that agree in the anchor but not in
-       all, around the borders of passages and copies.
-    3. Those are cut out of the texts and sent to their anchor's index: overlapping ones of a document become one
-       segment, so every place of a text is in an index once. There the run-length index gives each place's longest
-       match, and places with a match of ``length`` are marked.
-    4. An anchor with more than ``ANCHOR_CONTEXTS`` different contexts would make an index without bound: its windows
-       are grouped by their hash instead.
-
-    Strings are compared by 64-bit hashes over documents and by suffix order within an index. Null texts are
-    empty; texts shorter than ``length`` keep all. Rows that repeat id and text are two places and repeat each other.
-    An empty table gives no rows; further columns are not read.
+    1. Every window of that length has an anchor that depends on its bytes alone; equal windows share it. An anchor's
+       context is all that its windows may cover.
+    2. Equal contexts of an anchor are one, with a weight, pre-aggregated. A context of weight two or more matches
+       itself from end to end and is marked whole; an anchor whose contexts are all of that kind, or that has one
+       context only, needs nothing more. What is left are contexts that agree in the anchor but not in all.
+    3. Of those, each distinct one is cut out of a text once and sent to its anchor's task, which streams them, sorted
+       by anchor, through run-length indexes of ``INDEX_BYTES``. Overlapping contexts of a document become one segment.
+       The index gives each place's longest match, and places with a match of ``length`` are marked.
+    4. An anchor with more contexts than an index holds is split by its windows: they are grouped by their hash, so
+       no group grows with the anchor, and equal windows are pre-aggregated.
+
+    Strings are compared by 64-bit hashes within documents and by suffix order within an index; documents are told
+    apart by 128 bits. Null texts are empty; texts shorter than ``length`` keep all. Rows that repeat id and text are
+    two places and repeat each other. An empty table gives no rows; further columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    most_contexts = max(1, INDEX_BYTES // (2 * length))
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
-    rows = rows.select(F.xxhash64("id", "raw").alias("rid"), "id", "raw")
+    rows = rows.select(F.xxhash64("id", "raw").alias("r1"), F.xxhash64("raw", F.lit(7), "id").alias("r2"), "id", "raw")
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def part(rid, place, base, g, a, b, context):
-            cols = (g.view(np.int64), context.view(np.int64), rid, place + base, a + base, b + base)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "context", "rid", "place", "a", "b"])
+        def part(r1, r2, place, base, g, a, b, context):
+            cols = (g.view(np.int64), context.view(np.int64), r1, r2, a + base, b + base)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "context", "r1", "r2", "a", "b"])
 
         for batch in batches:
-            rids = batch.column(0).to_numpy()
-            data, offsets = batch_bytes(batch.column(1))
+            r1, r2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = batch_bytes(batch.column(2))
             for x, y in chunks_of(offsets, PIECE):
                 if y - x > 1 or offsets[y] - offsets[x] <= PIECE:
                     off = offsets[x : y + 1] - offsets[x]
                     row, place, g, a, b, context = anchors(data[offsets[x] : offsets[y]], off, length)
-                    yield part(rids[x:y][row], place - off[row], 0, g, a - off[row], b - off[row], context)
+                    yield part(r1[x:y][row], r2[x:y][row], place - off[row], 0, g, a - off[row], b - off[row], context)
                     continue
                 done, end = np.zeros(0, np.int64), int(offsets[y] - offsets[x])
                 for s in range(0, end, PIECE):  # pieces reach over so far that each window and its context is whole in one
                     lo, hi = max(0, s - length), min(end, s + PIECE + 2 * length)
                     row, place, g, a, b, context = anchors(data[offsets[x] + lo : offsets[x] + hi], np.array([0, hi - lo]), length)
                     own = ((a > 0) | (lo == 0) | (place >= length)) & ((b < hi - lo) | (hi == end)) & ~np.isin(place + lo, done)
-                    yield part(np.full(int(own.sum()), rids[x]), place[own], lo, g[own], a[own], b[own], context[own])
+                    n = int(own.sum())
+                    yield part(np.full(n, r1[x]), np.full(n, r2[x]), place[own], lo, g[own], a[own], b[own], context[own])
                     done = (place + lo)[own]
 
-    found = staged(rows.select("rid", "raw").mapInArrow(find, "anchor long, context long, rid long, place long, a long, b long"), "repeat-anchors")
-    groups = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "a", "b")).alias("one"))
+    found = staged(rows.select("r1", "r2", "raw").mapInArrow(find, "anchor long, context long, r1 long, r2 long, a long, b long"), "repeat-anchors")
+    groups = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "a", "b")).alias("one"))
     groups = staged(groups, "repeat-groups")
     wanted = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).filter("contexts > 1 AND least = 1")
-    equal = found.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("rid", "a", "b")
-    doubtful = groups.join(wanted, "anchor").select("anchor", "contexts", "one.*")
+    equal = found.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("r1", "r2", "a", "b")
+    doubtful = groups.join(wanted, "anchor").select("anchor", (F.col("contexts") > most_contexts).alias("split"), "one.*")
     doubtful = staged(doubtful, "repeat-doubtful")
     volume = doubtful.agg(F.sum(F.col("b") - F.col("a"))).first()[0] or 0
-    lists = doubtful.groupBy("rid").agg(F.collect_list(F.struct("anchor", "a", "b", (F.col("contexts") > ANCHOR_CONTEXTS).alias("hot"))).alias("cuts"))
+    lists = doubtful.groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "a", "b", "split")).alias("cuts"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for rid, raw, cuts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                view, items = memoryview(raw.as_buffer()), cuts.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c["anchor"] for c in items], pa.int64()), pa.array([rid] * len(items), pa.int64()), pa.array([c["a"] for c in items], pa.int64()),
-                     pa.array([c["hot"] for c in items], pa.bool_()), pa.array([bytes(view[c["a"] : c["b"]]) for c in items], pa.binary())],
-                    names=["anchor", "rid", "a", "hot", "raw"],
-                )
-
-    contexts = rows.select("rid", "raw").join(lists, "rid").select("rid", "raw", "cuts").mapInArrow(cut, "anchor long, rid long, a long, hot boolean, raw binary")
+            for r1, r2, raw, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                view, all_ = memoryview(raw.as_buffer()), cuts.values
+                for k in range(0, len(all_), 512):
+                    anchor, a, b, split = (all_.slice(k, 512).field(c) for c in range(4))
+                    n = len(anchor)
+                    parts = [bytes(view[x:y]) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([anchor, pa.array([r1] * n, pa.int64()), pa.array([r2] * n, pa.int64()), a, split, pa.array(parts, pa.binary())], names=["anchor", "r1", "r2", "a", "split", "raw"])
+
+    contexts = rows.select("r1", "r2", "raw").join(lists, ["r1", "r2"]).select("r1", "r2", "raw", "cuts").mapInArrow(cut, "anchor long, r1 long, r2 long, a long, split boolean, raw binary")
     contexts = staged(contexts, "repeat-contexts")
 
     def mark(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held = []
+        def marks(held: list):
+            held.sort(key=lambda x: x[:3])
+            segments, at = [], []
+            for r1, r2, a, raw in held:
+                if segments and at[-1][:2] == (r1, r2) and a <= at[-1][2] + len(segments[-1]):
+                    more = at[-1][2] + len(segments[-1]) - a
+                    if more < len(raw):
+                        segments[-1] += raw[more:]
+                else:
+                    segments.append(bytearray(raw))
+                    at.append((r1, r2, a))
+            starts = np.cumsum([0, *(len(s) for s in segments)])
+            data = np.frombuffer(b"".join(segments), np.uint8)
+            places = np.flatnonzero(RunIndex(data, starts[:-1], length).statistics() >= length)
+            segment = np.searchsorted(starts, places, side="right") - 1
+            # neighbouring places of a segment are one run
+            new = np.append(True, (np.diff(places) > 1) | (np.diff(segment) > 0)) if len(places) else np.zeros(0, bool)
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(places) - 1) if len(places) else np.zeros(0, np.int64)
+            r1, r2, base = (np.array(c, np.int64) for c in zip(*at, strict=True))
+            k = segment[new]
+            shift = base[k] - starts[k]
+            return pa.RecordBatch.from_arrays([pa.array(r1[k]), pa.array(r2[k]), pa.array(places[new] + shift), pa.array(places[last] + shift + length)], names=["r1", "r2", "a", "b"])
+
+        held, size, at = [], 0, None
         for batch in batches:
-            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        held.sort(key=lambda x: x[:2])
-        segments, at = [], []
-        for rid, a, raw in held:
-            if segments and at[-1][0] == rid and a <= at[-1][1] + len(segments[-1]):
-                more = at[-1][1] + len(segments[-1]) - a
-                if more < len(raw):
-                    segments[-1] += raw[more:]
-            else:
-                segments.append(bytearray(raw))
-                at.append((rid, a))
-        del held
-        if not segments:
-            return
-        starts = np.cumsum([0, *(len(s) for s in segments)])
-        data = np.frombuffer(b"".join(segments), np.uint8)
-        places = np.flatnonzero(RunIndex(data, starts[:-1]).statistics() >= length)
-        segment = np.searchsorted(starts, places, side="right") - 1
-        # neighbouring places of a segment are one run
-        new = np.append(True, (np.diff(places) > 1) | (np.diff(segment) > 0)) if len(places) else np.zeros(0, bool)
-        last = np.append(np.flatnonzero(new)[1:] - 1, len(places) - 1) if len(places) else np.zeros(0, np.int64)
-        rid, base = np.array([x[0] for x in at], np.int64), np.array([x[1] for x in at], np.int64)
-        k = segment[new]
-        shift = base[k] - starts[k]
-        yield pa.RecordBatch.from_arrays([pa.array(rid[k]), pa.array(places[new] + shift), pa.array(places[last] + shift + length)], names=["rid", "a", "b"])
-
-    parts = max(1, -(-volume // INDEX_BYTES))
-    near = contexts.filter("NOT hot").select("rid", "a", "raw", "anchor").repartition(parts, "anchor").select("rid", "a", "raw").mapInArrow(mark, "rid long, a long, b long")
+            for k in range(0, len(batch), 1024):
+                for anchor, *row in zip(*(c.slice(k, 1024).to_pylist() for c in batch.columns), strict=True):
+                    if anchor != at and size >= INDEX_BYTES:
+                        yield marks(held)
+                        held, size = [], 0
+                    at = anchor
+                    held.append(row)
+                    size += len(row[-1])
+        if held:
+            yield marks(held)
+
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-volume // TASK_BYTES))
+    near = contexts.filter("NOT split").select("anchor", "r1", "r2", "a", "raw").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(mark, "r1 long, r2 long, a long, b long")
 
     def windows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for rid, a, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                s = np.arange(len(raw) - length + 1)
-                h = Hashes(np.frombuffer(raw, np.uint8)).of(s, s + length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(s), rid)), pa.array(s + a)], names=["window", "rid", "a"])
+            for r1, r2, a, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                s = np.arange(len(raw.as_buffer()) - length + 1)
+                h = Hashes(np.frombuffer(raw.as_buffer(), np.uint8)).of(s, s + length)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(s), r1)), pa.array(np.full(len(s), r2)), pa.array(s + a)], names=["window", "r1", "r2", "a"])
 
-    hot = contexts.filter("hot").select("rid", "a", "raw").mapInArrow(windows, "window long, rid long, a long")
-    ends = hot.groupBy("window").agg(F.min(F.struct("rid", "a")).alias("x"), F.max(F.struct("rid", "a")).alias("y")).filter("x <> y").select("window")
-    far = hot.join(ends, "window").select("rid", "a", (F.col("a") + length).alias("b"))
-    marks = equal.union(near).union(far).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("marks"))
+    each = contexts.filter("split").select("r1", "r2", "a", "raw").mapInArrow(windows, "window long, r1 long, r2 long, a long")
+    place = F.struct("r1", "r2", "a")
+    twice = each.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("window")
+    far = each.join(twice, "window").select("r1", "r2", "a", (F.col("a") + length).alias("b"))
+    marks = equal.union(near).union(far).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("marks"))
 
     def keep(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            n, spans, kept = [], [], []
-            for raw, found_ in zip(batch.column(1), batch.column(2), strict=True):
-                raw = raw.as_py()
-                n.append(len(raw))
-                if found_.is_valid:
-                    v = found_.values
-                    s, e = merged(v.field(0).to_numpy(), v.field(1).to_numpy())
-                    spans.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)])
-                    kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True)))
-                else:
-                    spans.append([])
-                    kept.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
-
-    out = rows.join(marks, "rid", "left").select("id", "raw", "marks")
+            for row in range(0, len(batch), 256):
+                part = batch.slice(row, 256)
+                n, spans, kept = [], [], []
+                for raw, found_ in zip(part.column(1), part.column(2), strict=True):
+                    raw = raw.as_py()
+                    n.append(len(raw))
+                    if found_.is_valid:
+                        v = found_.values
+                        s, e = merged(v.field(0).to_numpy(), v.field(1).to_numpy())
+                        spans.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)])
+                        kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True)))
+                    else:
+                        spans.append([])
+                        kept.append(raw)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+
+    out = rows.join(marks, ["r1", "r2"], "left").select("id", "raw", "marks")
     return out.mapInArrow(keep, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
 
 
