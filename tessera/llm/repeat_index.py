@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import _BYTE, _powers, batch_bytes, chunks_of, mixed, staged
 
-#: Bytes of context that an index holds at once, up to twice as many, and bytes for each task of indexes.
-INDEX_BYTES, TASK_BYTES = 1 << 19, 1 << 26
+#: Bytes of contexts that an index takes in before the next anchor, those that one anchor may bring, and those for each
+#: task of indexes.
+INDEX_BYTES, ANCHOR_BYTES, TASK_BYTES = 1 << 22, 1 << 24, 1 << 26
 #: Bytes of texts that are looked at together.
 PIECE = 1 << 19
 
@@ -70,102 +71,51 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return row, place, g[place], a, b, context
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffixes of all segments in order, by doubling; ``ends`` has the end of each place's segment. A segment's end is smaller than all bytes, and each end is another one."""
-    n = len(data)
-    spot = np.arange(n)
-    one, h = data.astype(np.int64) + 1, 6
-
-    def then(left, right, k, more):
-        """Keys with those of ``more`` bytes that begin k bytes further on."""
-        return left << 9 * more | np.where(spot + k < ends, np.append(right[k:], np.zeros(min(k, n), np.int64)), 0)
-
-    two = then(one, one, 1, 1)
-    key = then(then(two, two, 2, 2), two, 4, 2)
-    order = np.argsort(key)
-    rank, at = np.empty(n, np.int64), np.arange(n)
-
-    def renumber(order_, key_, base):
-        """Ranks: the place of the first of each run of equal keys; returns what is still tied."""
-        new = np.append(True, key_[1:] != key_[:-1])
-        first = np.maximum.accumulate(np.where(new, base, 0))
-        rank[order_] = first
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        return tied
-
-    tied = renumber(order, key[order], at)
-    sa = order
-    left = np.flatnonzero(tied)
-    segment = np.cumsum(np.append(0, ends[1:] != ends[:-1])) if n else np.zeros(0, np.int64)
-    n_segments = int(segment[-1]) + 1 if n else 0
-    while len(left):
-        i = sa[left]
-        after = np.where(i + h < ends[i], rank[np.minimum(i + h, n - 1)] + n_segments, segment[i])
-        key = rank[i] * (n + n_segments) + after
-        o = np.argsort(key)
-        sa[left] = i[o]
-        still = renumber(i[o], key[o], left)
-        left = left[still]
-        h *= 2
-    return sa
-
-
-class RunIndex:
-    """A run-compressed Burrows-Wheeler transform of segments, with the suffixes at run ends and their match lengths.
-
-    Where a suffix and its neighbours in the order follow the same byte, the suffix one byte to the left matches one
-    byte more. So the longest match of a place is known from the nearest place to its left that stands at the end of
-    a run, less the distance: only run ends are sampled. Matches shorter than ``least`` count as none: a sample whose
-    neighbours differ within so many bytes is not measured.
+class RunColumns:
+    """A run-compressed positional Burrows-Wheeler transform of strings that are aligned by columns.
+
+    At every column the strings are in the order of what stands to the left, read backwards, and ``match`` has the
+    bytes up to there in which each agrees with the one before it. A column's transform is its bytes in that order. It
+    falls into runs, and strings that follow each other within a run still do so at the next column, with a match one
+    longer; only where a run begins is the match looked up, as the least one since the last run of the same byte.
+    So matching statistics are streamed from column to column, and nothing is held but the columns and one order.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, least: int = 1):
-        self.data, self.starts = data, starts
-        n = len(data)
-        ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-        sa = suffix_array(data, ends)
-        before = data[sa - 1].astype(np.int64)
-        begin = np.zeros(n, bool)
-        begin[starts] = True
-        first = begin[sa]
-        before[first] = -1 - np.arange(int(first.sum()))
-        new = np.append(True, before[1:] != before[:-1]) if n else np.zeros(0, bool)
-        self.heads, self.chars = np.flatnonzero(new), before[new]
-        new[:-1] |= new[1:]  # the last of each run as well
-        new[-1:] = True
-        at = np.flatnonzero(new)
-        h = Hashes(data)
-        match = np.zeros(len(at), np.int64)
-        for step in (-1, 1):
-            k = np.flatnonzero((at + step >= 0) & (at + step < n))
-            i, j = sa[at[k]], sa[at[k] + step]
-            most = np.minimum(ends[i] - i, ends[j] - j)
-            long = np.flatnonzero(most >= least)
-            k, i, j, most = k[long], i[long], j[long], most[long]
-            same = np.flatnonzero(h.raw(i, i + least) == h.raw(j, j + least))
-            k, i, j, most = k[same], i[same], j[same], most[same]
-            match[k] = np.maximum(match[k], common(h, i, j, most, least))
-        sampled = np.full(n, -1)
-        sampled[sa[at]] = match
-        self.places = np.flatnonzero(sampled >= 0)
-        self.matches = sampled[self.places]
-
-    def statistics(self) -> np.ndarray:
-        """For each place the length of the longest string that starts there and somewhere else, where it is the least or more; less otherwise."""
-        n = len(self.data)
-        gap = np.diff(np.append(self.places, n))
-        return np.repeat(self.matches + self.places, gap) - np.arange(n) if n else np.zeros(0, np.int64)
-
-
-def common(h: Hashes, i: np.ndarray, j: np.ndarray, most: np.ndarray, least: int = 0) -> np.ndarray:
-    """Bytes that agree from i and j on, ``most`` at most; ``least`` are known to agree."""
-    low, high = np.full(len(i), least), most.copy()
-    while (low < high).any():
-        mid = (low + high + 1) // 2
-        same = h.raw(i, i + mid) == h.raw(j, j + mid)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+    def __init__(self, strings: list[bytes], begins: np.ndarray, width: int):
+        grid = np.zeros((len(strings), width), np.uint16)  # 0: the string has no byte in the column
+        for row, begin, s in zip(grid, begins.tolist(), strings, strict=True):
+            row[begin : begin + len(s)] = np.frombuffer(s, np.uint8)
+            row[begin : begin + len(s)] += 1
+        self.columns = np.ascontiguousarray(grid.T)
+
+    def statistics(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """After each column: the order, and for each string in it the longest match with any other that ends there."""
+        n = self.columns.shape[1]
+        order, match = np.arange(n), np.zeros(n + 1, np.int64)
+        for column in self.columns:
+            byte = column[order]
+            to = np.argsort(byte, kind="stable")
+            byte = byte[to]
+            before, now = to[:-1], to[1:]
+            same = byte[1:] == byte[:-1]
+            grown = np.zeros(n + 1, np.int64)
+            grown[1:-1] = np.where(same, match[now] + 1, 0)
+            runs = np.flatnonzero(same & (now != before + 1))
+            if len(runs):
+                since = np.stack([before[runs] + 1, now[runs] + 1], axis=1).ravel()
+                grown[runs + 1] = np.minimum.reduceat(match, since)[::2] + 1
+            grown[: int(np.searchsorted(byte, 1))] = 0
+            order, match = order[to], grown
+            yield order, np.maximum(match[:-1], match[1:])
+
+    def repeated(self, length: int) -> np.ndarray:
+        """For each string and column: a string of ``length`` bytes begins there that stands in another one at the same columns."""
+        width, n = self.columns.shape
+        out = np.zeros((n, max(0, width - length + 1)), bool)
+        for k, (order, longest) in enumerate(self.statistics()):
+            if k >= length - 1:
+                out[order[longest >= length], k - length + 1] = True
+        return out
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,17 +137,17 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
        itself from end to end and is marked whole; an anchor whose contexts are all of that kind, or that has one
        context only, needs nothing more. What is left are contexts that agree in the anchor but not in all.
     3. Of those, each distinct one is cut out of a text once and sent to its anchor's task, which streams them, sorted
-       by anchor, through run-length indexes of ``INDEX_BYTES``. Overlapping contexts of a document become one segment.
-       The index gives each place's longest match, and places with a match of ``length`` are marked.
-    4. An anchor with more contexts than an index holds is split by its windows: they are grouped by their hash, so
-       no group grows with the anchor, and equal windows are pre-aggregated.
+       by anchor, through run-length indexes (see ``RunColumns``). Windows of the same anchor can only be equal at the
+       same offset from it, so contexts are aligned there. Places with a match of ``length`` are marked.
+    4. An anchor whose contexts don't fit in a task's memory is split by its windows: they are grouped by their hash,
+       so no group grows with the anchor, and equal windows are pre-aggregated.
 
-    Strings are compared by 64-bit hashes within documents and by suffix order within an index; documents are told
-    apart by 128 bits. Null texts are empty; texts shorter than ``length`` keep all. Rows that repeat id and text are
+    Contexts are told apart by 64-bit hashes and compared by bytes within an index; documents are told apart by 128 bits. Null texts are empty; texts shorter than ``length`` keep all. Rows that repeat id and text are
     two places and repeat each other. An empty table gives no rows; further columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    most_contexts = max(1, INDEX_BYTES // (2 * length))
+    reach = length - gram_of(length)  # columns of a context before its anchor
+    most_contexts = max(1, ANCHOR_BYTES // (length + reach))
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
     rows = rows.select(F.xxhash64("id", "raw").alias("r1"), F.xxhash64("raw", F.lit(7), "id").alias("r2"), "id", "raw")
 
@@ -205,8 +155,8 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
         import pyarrow as pa
 
         def part(r1, r2, place, base, g, a, b, context):
-            cols = (g.view(np.int64), context.view(np.int64), r1, r2, a + base, b + base)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "context", "r1", "r2", "a", "b"])
+            cols = (g.view(np.int64), context.view(np.int64), r1, r2, place + base, a + base, b + base)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "context", "r1", "r2", "place", "a", "b"])
 
         for batch in batches:
             r1, r2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -226,15 +176,15 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                     yield part(np.full(n, r1[x]), np.full(n, r2[x]), place[own], lo, g[own], a[own], b[own], context[own])
                     done = (place + lo)[own]
 
-    found = staged(rows.select("r1", "r2", "raw").mapInArrow(find, "anchor long, context long, r1 long, r2 long, a long, b long"), "repeat-anchors")
-    groups = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "a", "b")).alias("one"))
+    found = staged(rows.select("r1", "r2", "raw").mapInArrow(find, "anchor long, context long, r1 long, r2 long, place long, a long, b long"), "repeat-anchors")
+    groups = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "place", "a", "b")).alias("one"))
     groups = staged(groups, "repeat-groups")
     wanted = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).filter("contexts > 1 AND least = 1")
     equal = found.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("r1", "r2", "a", "b")
     doubtful = groups.join(wanted, "anchor").select("anchor", (F.col("contexts") > most_contexts).alias("split"), "one.*")
     doubtful = staged(doubtful, "repeat-doubtful")
     volume = doubtful.agg(F.sum(F.col("b") - F.col("a"))).first()[0] or 0
-    lists = doubtful.groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "a", "b", "split")).alias("cuts"))
+    lists = doubtful.groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "place", "a", "b", "split")).alias("cuts"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -243,39 +193,25 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             for r1, r2, raw, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 view, all_ = memoryview(raw.as_buffer()), cuts.values
                 for k in range(0, len(all_), 512):
-                    anchor, a, b, split = (all_.slice(k, 512).field(c) for c in range(4))
+                    anchor, place, a, b, split = (all_.slice(k, 512).field(c) for c in range(5))
                     n = len(anchor)
                     parts = [bytes(view[x:y]) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([anchor, pa.array([r1] * n, pa.int64()), pa.array([r2] * n, pa.int64()), a, split, pa.array(parts, pa.binary())], names=["anchor", "r1", "r2", "a", "split", "raw"])
+                    yield pa.RecordBatch.from_arrays([anchor, pa.array([r1] * n, pa.int64()), pa.array([r2] * n, pa.int64()), place, a, split, pa.array(parts, pa.binary())], names=["anchor", "r1", "r2", "place", "a", "split", "raw"])
 
-    contexts = rows.select("r1", "r2", "raw").join(lists, ["r1", "r2"]).select("r1", "r2", "raw", "cuts").mapInArrow(cut, "anchor long, r1 long, r2 long, a long, split boolean, raw binary")
+    contexts = rows.select("r1", "r2", "raw").join(lists, ["r1", "r2"]).select("r1", "r2", "raw", "cuts").mapInArrow(cut, "anchor long, r1 long, r2 long, place long, a long, split boolean, raw binary")
     contexts = staged(contexts, "repeat-contexts")
 
     def mark(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def marks(held: list):
-            held.sort(key=lambda x: x[:3])
-            segments, at = [], []
-            for r1, r2, a, raw in held:
-                if segments and at[-1][:2] == (r1, r2) and a <= at[-1][2] + len(segments[-1]):
-                    more = at[-1][2] + len(segments[-1]) - a
-                    if more < len(raw):
-                        segments[-1] += raw[more:]
-                else:
-                    segments.append(bytearray(raw))
-                    at.append((r1, r2, a))
-            starts = np.cumsum([0, *(len(s) for s in segments)])
-            data = np.frombuffer(b"".join(segments), np.uint8)
-            places = np.flatnonzero(RunIndex(data, starts[:-1], length).statistics() >= length)
-            segment = np.searchsorted(starts, places, side="right") - 1
-            # neighbouring places of a segment are one run
-            new = np.append(True, (np.diff(places) > 1) | (np.diff(segment) > 0)) if len(places) else np.zeros(0, bool)
-            last = np.append(np.flatnonzero(new)[1:] - 1, len(places) - 1) if len(places) else np.zeros(0, np.int64)
-            r1, r2, base = (np.array(c, np.int64) for c in zip(*at, strict=True))
-            k = segment[new]
-            shift = base[k] - starts[k]
-            return pa.RecordBatch.from_arrays([pa.array(r1[k]), pa.array(r2[k]), pa.array(places[new] + shift), pa.array(places[last] + shift + length)], names=["r1", "r2", "a", "b"])
+            r1, r2, place, a = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:4])
+            index = RunColumns([x[4] for x in held], a - (place - reach), length + reach)
+            found_ = np.pad(index.repeated(length), ((0, 0), (1, 1)))  # neighbouring starts are one run
+            row, first = np.nonzero(found_[:, 1:] & ~found_[:, :-1])
+            _, last = np.nonzero(found_[:, :-1] & ~found_[:, 1:])
+            start = place[row] - reach
+            return pa.RecordBatch.from_arrays([pa.array(r1[row]), pa.array(r2[row]), pa.array(start + first), pa.array(start + last - 1 + length)], names=["r1", "r2", "a", "b"])
 
         held, size, at = [], 0, None
         for batch in batches:
@@ -291,7 +227,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             yield marks(held)
 
     tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-volume // TASK_BYTES))
-    near = contexts.filter("NOT split").select("anchor", "r1", "r2", "a", "raw").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(mark, "r1 long, r2 long, a long, b long")
+    near = contexts.filter("NOT split").select("anchor", "r1", "r2", "place", "a", "raw").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(mark, "r1 long, r2 long, a long, b long")
 
     def windows(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -19,49 +19,53 @@ def digest(df):
     )
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(12))
 def test_statistics(seed):
     rnd = random.Random(seed)
-    segments = [bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randint(1, 40))) for _ in range(rnd.randint(1, 8))]
-    if seed % 2:
-        segments += [b"a" * 30, segments[0], segments[0][3:] or b"x"]
-    data = b"".join(segments)
-    starts = np.cumsum([0, *map(len, segments)])
-    index = R.RunIndex(np.frombuffer(data, np.uint8), starts[:-1])
-    ends = [e for e, s in zip(starts[1:], segments) for _ in s]
-    sa = R.suffix_array(np.frombuffer(data, np.uint8), np.array(ends))
-    assert [data[i : ends[i]] for i in sa] == sorted(data[i : ends[i]] for i in range(len(data)))
-    got = index.statistics()
-    for i in range(len(data)):
-        best = 0
-        for j in range(len(data)):
-            if i != j:
-                k = 0
-                while i + k < ends[i] and j + k < ends[j] and data[i + k] == data[j + k]:
-                    k += 1
-                best = max(best, k)
-        assert got[i] == best
-    for least in (2, 9):
-        some = R.RunIndex(np.frombuffer(data, np.uint8), starts[:-1], least).statistics()
-        assert ((got >= least) == (some >= least)).all()
-        assert (some[got >= least] == got[got >= least]).all()
+    width = rnd.randint(1, 30)
+    strings, begins = [], []
+    for _ in range(rnd.randint(1, 25)):
+        if strings and rnd.random() < 0.5:
+            k = rnd.randrange(len(strings))
+            s, begin = bytearray(strings[k]), begins[k]
+            if s and rnd.random() < 0.8:
+                s[rnd.randrange(len(s))] = rnd.choice(b"ab\x00")
+        else:
+            begin = rnd.randint(0, width)
+            s = bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randint(0, width - begin)))
+        strings.append(bytes(s))
+        begins.append(begin)
+    index = R.RunColumns(strings, np.array(begins), width)
+
+    def match(i, j, k):
+        n = 0
+        while all(b <= k - n < b + len(s) for s, b in ((strings[i], begins[i]), (strings[j], begins[j]))) and strings[i][k - n - begins[i]] == strings[j][k - n - begins[j]]:
+            n += 1
+        return n
+
+    for k, (order, longest) in enumerate(index.statistics()):
+        assert sorted(order.tolist()) == list(range(len(strings)))
+        for i, n in zip(order.tolist(), longest.tolist(), strict=True):
+            assert n == max((match(i, j, k) for j in range(len(strings)) if j != i), default=0)
 
 
 def test_memory_of_a_task():
-    """What a task holds for a piece and for a full index, in Python and numpy."""
+    """What a task holds for a piece, for a full index, and for an anchor that just fits, in Python and numpy."""
     import tracemalloc
 
     rnd = np.random.default_rng(3)
-    data = rnd.integers(97, 123, 2 * R.INDEX_BYTES, dtype=np.uint8)
-    data[R.INDEX_BYTES :] = data[: R.INDEX_BYTES]
-    starts = np.arange(0, len(data), 670)
-    for make in (lambda: R.anchors(data[: R.PIECE], np.arange(0, R.PIECE + 1, R.PIECE // 64), 400), lambda: R.RunIndex(data, starts, 400).statistics()):
-        make()
+    data = rnd.integers(97, 123, R.PIECE, dtype=np.uint8)
+    some, hot = ([data[k % 5000 : k % 5000 + 672].tobytes() for k in range(n // 672)] for n in (R.INDEX_BYTES, R.ANCHOR_BYTES))
+    for make, most in (
+        (lambda: R.anchors(data, np.arange(0, R.PIECE + 1, R.PIECE // 64), 400), 100e6),
+        (lambda: R.RunColumns(some, np.zeros(len(some), np.int64), 672).repeated(400), 60e6),
+        (lambda: R.RunColumns(hot, np.zeros(len(hot), np.int64), 672).repeated(400), 250e6),
+    ):
         tracemalloc.start()
         make()
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
-        assert peak < 250e6
+        assert peak < most
 
 
 def texts(seed, n=60):
@@ -81,9 +85,10 @@ def texts(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize(("seed", "length", "index", "piece"), [(1, 40, 1 << 22, 1 << 22), (2, 25, 2000, 300), (3, 30, 60, 1 << 22), (4, 2, 20, 64)])
-def test_against_all_windows(spark, monkeypatch, seed, length, index, piece):
+@pytest.mark.parametrize(("seed", "length", "index", "most", "piece"), [(1, 40, 1 << 22, 1 << 24, 1 << 22), (2, 25, 2000, 1 << 24, 300), (3, 30, 1 << 22, 60, 1 << 22), (4, 2, 500, 20, 64)])
+def test_against_all_windows(spark, monkeypatch, seed, length, index, most, piece):
     monkeypatch.setattr(R, "INDEX_BYTES", index)
+    monkeypatch.setattr(R, "ANCHOR_BYTES", most)
     monkeypatch.setattr(R, "PIECE", piece)
     rows = list(enumerate(texts(seed))) + [(1000, None), (1001, ""), (None, "null id " * 3), (1002, "same row twice " * 4), (1002, "same row twice " * 4)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, raw int")
