@@ -7,7 +7,7 @@ from tessera.registry import query, sql
 from tessera.tables import table
 
 sql("j01_star_join", """SELECT p_brand, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand""")
-sql("j02_bridge_join", "SELECT DISTINCT s_name, p_name FROM {supplier} JOIN {lineitem} ON s_suppkey = l_suppkey JOIN {part} ON l_partkey = p_partkey WHERE p_size = 1")
+sql("j02_bridge_join", "SELECT DISTINCT s_name, p_name FROM {supplier} JOIN {lineitem} ON s_suppkey = l_suppkey JOIN {part} ON l_partkey = p_partkey")
 sql("j03_join_chain",
     """SELECT n_name, count(*) AS n FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
        WHERE l_returnflag = 'R' GROUP BY n_name""")
@@ -45,9 +45,9 @@ sql("j12_leaves", "SELECT n_nationkey FROM {nation} WHERE NOT EXISTS (SELECT 1 F
 sql("j13_pairs_by_day",
     """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d, event_type FROM {events}) SELECT a.event_type AS a, b.event_type AS b, count(*) AS days FROM d a JOIN d b ON a.d = b.d AND b.event_type > a.event_type GROUP BY a.event_type, b.event_type""")
 sql("j14_two_hops",
-    """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem} WHERE l_quantity >= 49) SELECT DISTINCT a.src AS supplier, b.src AS other FROM e a JOIN e b ON a.dst = b.dst AND a.src <> b.src""")
+    """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem}) SELECT DISTINCT a.src AS supplier, b.src AS other FROM e a JOIN e b ON a.dst = b.dst AND a.src <> b.src""")
 sql("j16_common_neighbours",
-    """WITH e AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_quantity = 50)
+    """WITH e AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey)
        SELECT a.c AS a, b.c AS b, count(*) AS common FROM e a JOIN e b ON a.p = b.p AND a.c < b.c GROUP BY a.c, b.c""")
 sql("j18_cross_generator", "SELECT a.id AS x, b.id AS s FROM range(60) a CROSS JOIN range(7) b WHERE (a.id * 7 + b.id * 13) % 5 < 2",
     "SELECT a.range AS x, b.range AS s FROM range(60) a CROSS JOIN range(7) b WHERE (a.range * 7 + b.range * 13) % 5 < 2")

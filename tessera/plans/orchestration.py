@@ -40,23 +40,30 @@ def u16(spark, sf_dir):
     return O.task_dimension(e.select("task").union(e.select("dep")), e)
 
 
-@query("g14_table_lineage", """SELECT n_nationkey, m AS mode, o AS object, CASE WHEN o LIKE '%gold%' THEN 'gold' WHEN o LIKE '%silver%' THEN 'silver' END AS layer FROM nation, (VALUES ('READ', 'silver_sales'), ('READ', 'dim_x'), ('WRITE', 'gold_mart'), ('WRITE', 'tmp_z')) AS t(m, o)""")
+#: Procedure texts made from all parts: what each reads and writes depends on its row.
+_BODY = "concat('DELETE FROM tmp_', p_size, '; INSERT INTO ', CASE WHEN p_size % 3 = 0 THEN 'gold_' WHEN p_size % 3 = 1 THEN 'Silver_' ELSE 'out_' END, p_size % 7, ' SELECT * FROM ', CASE WHEN p_size % 2 = 0 THEN 'bronze_' ELSE 'silver_' END, p_size % 5, ' s JOIN dim_', p_size % 4, ' d ON s.k = d.k', CASE WHEN p_size % 5 = 0 THEN '; MERGE INTO gold_total USING x ON 1 = 1; UPDATE audit_log SET n = 1' ELSE '' END)"
+
+
+@query("g14_table_lineage", f"""WITH b AS (SELECT p_partkey, {_BODY} AS body FROM part),
+       o AS (SELECT p_partkey, 'WRITE' AS mode, unnest(regexp_extract_all(body, '(?i)(?:insert\\s+into|update|merge\\s+into|delete\\s+from)\\s+([a-z_][a-z_0-9.]*)', 1)) AS object FROM b
+             UNION ALL SELECT p_partkey, 'READ', unnest(regexp_extract_all(regexp_replace(body, '(?i)delete\\s+from\\s', 'delete ', 'g'), '(?i)(?:from|join)\\s+([a-z_][a-z_0-9.]*)', 1)) FROM b)
+       SELECT DISTINCT p_partkey, mode, lower(object) AS object, CASE WHEN lower(object) LIKE '%gold%' THEN 'gold' WHEN lower(object) LIKE '%silver%' THEN 'silver' WHEN lower(object) LIKE '%bronze%' THEN 'bronze' END AS layer FROM o""")
 def g14(spark, sf_dir):
-    p = table(spark, sf_dir, "nation").select("n_nationkey", F.lit("DELETE FROM tmp_z; INSERT INTO gold_mart SELECT * FROM silver_sales s JOIN dim_x d ON s.k = d.k").alias("body"))
-    return O.lineage(p, "n_nationkey", "body")
+    return O.lineage(table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_BODY} AS body"), "p_partkey", "body")
 
 
 sql("u17_execution_fact",
     """WITH x AS (SELECT event_id, event_type AS task, user_id AS run_id, CAST(ts AS DATE) AS run_date, value AS ms, event_id % 11 = 0 AS failed FROM {events})
-       SELECT x.event_id, x.task, round(x.ms, 4) AS ms, x.ms > 90 AS had_retry, x.failed AND EXISTS (SELECT 1 FROM x y WHERE y.run_id = x.run_id AND y.run_date = x.run_date AND y.failed AND y.event_id < x.event_id) AS victim FROM x WHERE x.run_date < DATE '2024-01-08'""".replace("x.failed AND EXISTS (SELECT 1 FROM x y WHERE y.run_id = x.run_id AND y.run_date = x.run_date AND y.failed AND y.event_id < x.event_id)", "x.failed AND coalesce(max(CASE WHEN x.failed THEN 1 ELSE 0 END) OVER (PARTITION BY x.run_id, x.run_date ORDER BY x.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1"))
+       SELECT event_id, task, round(ms, 4) AS ms, ms > 90 AS had_retry,
+              failed AND coalesce(max(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, run_date ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS victim FROM x""")
 sql("u19_dependency_edges", "SELECT doc_id AS task, explode(array(doc_id - 1, doc_id - 2)) AS dep FROM {documents} WHERE doc_id >= 2", "SELECT doc_id AS task, unnest([doc_id - 1, doc_id - 2]) AS dep FROM documents WHERE doc_id >= 2")
 sql("u21_derived_fines", "SELECT l_orderkey, l_linenumber, datediff(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) * 0.5 AS fine FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE datediff(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) > 90",
     "SELECT l_orderkey, l_linenumber, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) * 0.5 AS fine FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE date_diff('day', o_orderdate::DATE, l_shipdate::DATE) > 90")
 sql("u11_monthly_scores", """WITH d AS (SELECT event_type AS k, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(ts AS DATE) AS d, avg(value) AS s FROM {events} WHERE day(ts) % 3 <> 0 GROUP BY 1, 2, 3) SELECT k, month, count(*) AS scored, round(min(s), 6) AS lowest, round(avg(s), 6) AS mean FROM d GROUP BY k, month""")
 sql("u10_health_bitmaps", """WITH d AS (SELECT event_type AS k, CAST(ts AS DATE) AS d, count_if(event_id % 11 = 0) = 0 AS ok FROM {events} GROUP BY 1, 2) SELECT k, CAST(sum(CASE WHEN ok THEN shiftleft(1L, 31 - datediff(DATE '2024-01-30', d)) ELSE 0 END) AS BIGINT) AS bitmap FROM d GROUP BY k""",
     """WITH d AS (SELECT event_type AS k, CAST(ts AS DATE) AS d, count(*) FILTER (event_id % 11 = 0) = 0 AS ok FROM events GROUP BY 1, 2) SELECT k, sum(CASE WHEN ok THEN 1::BIGINT << (31 - date_diff('day', d, DATE '2024-01-30')) ELSE 0 END)::BIGINT AS bitmap FROM d GROUP BY k""")
-sql("g09_version_tree", "WITH RECURSIVE t(v, generation, label) AS (SELECT CAST(1 AS BIGINT), 0, CAST('v1' AS STRING) UNION ALL SELECT p_partkey, generation + 1, concat(repeat('  ', generation + 1), 'v', p_partkey) FROM t JOIN {part} ON p_partkey div 3 = v AND p_partkey <= 120) SELECT v, generation, label FROM t",
-    "WITH RECURSIVE t(v, generation, label) AS (SELECT 1::BIGINT, 0, 'v1' UNION ALL SELECT p_partkey, generation + 1, repeat('  ', generation + 1) || 'v' || p_partkey FROM t JOIN part ON p_partkey // 3 = v AND p_partkey <= 120) SELECT v, generation, label FROM t")
+sql("g09_version_tree", "WITH RECURSIVE t(v, generation, label) AS (SELECT CAST(1 AS BIGINT), 0, CAST('v1' AS STRING) UNION ALL SELECT p_partkey, generation + 1, concat(repeat('  ', generation + 1), 'v', p_partkey) FROM t JOIN {part} ON p_partkey div 3 = v) SELECT v, generation, label FROM t",
+    "WITH RECURSIVE t(v, generation, label) AS (SELECT 1::BIGINT, 0, 'v1' UNION ALL SELECT p_partkey, generation + 1, repeat('  ', generation + 1) || 'v' || p_partkey FROM t JOIN part ON p_partkey // 3 = v) SELECT v, generation, label FROM t")
 
 
 @query("g19_metric_graph", f"""SELECT a, b, round(d, 3) AS metres FROM (SELECT a.k AS a, b.k AS b, 2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS d FROM {PLACE.format(t='supplier')} a JOIN {PLACE.format(t='supplier')} b ON a.k < b.k) WHERE d <= 1500000""")
@@ -87,7 +94,7 @@ def d34(spark, sf_dir):
     return spatial.region_probability(g, F.exp(-F.pow(d / 1000.0, F.lit(2)) / 2), d <= 1500)
 
 
-sql("d31_region_distances", """WITH p AS (SELECT s_nationkey AS r, CAST(s_suppkey * 37 % 120 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 340 AS DOUBLE) AS y FROM {supplier}), d AS (SELECT a.r AS a, b.r AS b, a.x AS ax, a.y AS ay, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS near FROM p a JOIN p b ON a.r <> b.r AND a.r < 6 AND b.r < 6 GROUP BY a.r, b.r, a.x, a.y)
+sql("d31_region_distances", """WITH p AS (SELECT DISTINCT s_nationkey AS r, CAST(s_suppkey * 37 % 120 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 340 AS DOUBLE) AS y FROM {supplier}), d AS (SELECT a.r AS a, b.r AS b, a.x AS ax, a.y AS ay, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS near FROM p a JOIN p b ON a.r <> b.r GROUP BY a.r, b.r, a.x, a.y)
        SELECT a, b, round(min(near), 6) AS boundary, round(max(near), 6) AS hausdorff FROM d GROUP BY a, b""")
 sql("d38_representatives", """WITH e AS (SELECT vec_id, label, posexplode(embedding) AS (i, x) FROM {embeddings}), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY label, i), s AS (SELECT vec_id, e.label, sum(x * m) / sqrt(sum(m * m)) / sqrt(sum(CAST(x AS DOUBLE) * x)) AS cos FROM e JOIN c ON c.label = e.label AND c.i = e.i GROUP BY vec_id, e.label)
        SELECT label, vec_id, round(cos, 5) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(cos, 7) DESC, vec_id) AS r FROM s) WHERE r <= 3""",
@@ -97,10 +104,11 @@ sql("f22_keyword_overlap", """WITH w AS (SELECT conv_id, turn, array_distinct(fi
        SELECT conv_id, turn, round(least(1, CASE WHEN size(k) <= 3 THEN size(array_intersect(k, b)) * 1.0 / size(k) ELSE size(array_intersect(k, b)) / (0.4 * size(k)) END), 6) AS overlap FROM p WHERE b IS NOT NULL AND size(k) > 0""",
     """WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 3)) AS k FROM conversations), p AS (SELECT conv_id, turn, k, lag(k) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w)
        SELECT conv_id, turn, round(least(1, CASE WHEN len(k) <= 3 THEN len(list_intersect(k, b)) * 1.0 / len(k) ELSE len(list_intersect(k, b)) / (0.4 * len(k)) END), 6) AS overlap FROM p WHERE b IS NOT NULL AND len(k) > 0""")
-sql("f23_name_similarity", """WITH w AS (SELECT p_partkey, p_brand, array_distinct(split(lower(p_type), ' ')) AS k FROM {part} WHERE p_size = 1)
-       SELECT a.p_partkey AS a, b.p_partkey AS b, round(size(array_intersect(a.k, b.k)) * 1.0 / least(size(a.k), size(b.k)), 6) AS sim, size(array_intersect(a.k, b.k)) * 1.0 / greatest(size(a.k), size(b.k)) > 0.8 AS dup FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""",
-    """WITH w AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_type), ' ')) AS k FROM part WHERE p_size = 1)
-       SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.k, b.k)) * 1.0 / least(len(a.k), len(b.k)), 6) AS sim, len(list_intersect(a.k, b.k)) * 1.0 / greatest(len(a.k), len(b.k)) > 0.8 AS dup FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+# Names are types, of which there are few whatever the number of parts: equal ones are compared once.
+sql("f23_name_similarity", """WITH w AS (SELECT p_brand, p_type, count(*) AS parts, array_distinct(split(lower(p_type), ' ')) AS k FROM {part} GROUP BY p_brand, p_type)
+       SELECT a.p_brand AS brand, a.p_type AS a, b.p_type AS b, a.parts * b.parts AS pairs, round(size(array_intersect(a.k, b.k)) * 1.0 / least(size(a.k), size(b.k)), 6) AS sim, size(array_intersect(a.k, b.k)) * 1.0 / greatest(size(a.k), size(b.k)) > 0.8 AS dup FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type < b.p_type""",
+    """WITH w AS (SELECT p_brand, p_type, count(*) AS parts, list_distinct(string_split(lower(p_type), ' ')) AS k FROM part GROUP BY p_brand, p_type)
+       SELECT a.p_brand AS brand, a.p_type AS a, b.p_type AS b, a.parts * b.parts AS pairs, round(len(list_intersect(a.k, b.k)) * 1.0 / least(len(a.k), len(b.k)), 6) AS sim, len(list_intersect(a.k, b.k)) * 1.0 / greatest(len(a.k), len(b.k)) > 0.8 AS dup FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type < b.p_type""")
 sql("f24_confidence", """SELECT doc_id, round(0.4 * q + 0.6 * (0.5 + 0.5 * (doc_id % 4) / 4.0), 6) AS confidence FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0.6 WHEN doc_id % 7 = 1 THEN 0.7 WHEN doc_id % 7 <= 3 THEN 0.8 WHEN doc_id % 7 <= 5 THEN 0.9 ELSE 0.95 END AS q FROM {documents})""")
 sql("f33_plane_metrics", "SELECT s_suppkey, round(sqrt(pow(s_acctbal, 2) + pow(s_nationkey, 2)), 4) AS euclid, round(abs(s_acctbal) + s_nationkey, 4) AS manhattan FROM {supplier}")
 sql("f37_unit_exponents", "SELECT k, aggregate(transform(regexp_extract_all(u, 'm([-0-9]+)', 1), x -> CAST(x AS INT)), 0, (a, b) -> a + b) AS metres FROM (SELECT n_nationkey AS k, concat('kg1 m', n_nationkey % 4, ' s-2 m1') AS u FROM {nation})",

@@ -6,23 +6,24 @@ from tessera.operators import sets as S
 from tessera.registry import query, sql
 from tessera.tables import table
 
-_EARLY = "SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-05'"
+#: Sets are the kinds of events, their elements the days of each user.
+_MEMBERS = "SELECT DISTINCT user_id || '-' || day(ts) AS element, event_type FROM events"
 
 
 def _members(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("ts < TIMESTAMP '2024-01-05'").select(F.col("event_type").alias("set_key"), F.col("user_id").alias("element"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("set_key"), F.concat_ws("-", "user_id", F.dayofmonth("ts")).alias("element"))
 
 
 sql("e01_union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}")
 sql("e02_union", "SELECT c_nationkey AS k FROM {customer} WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM {supplier}")
 
 
-@query("e03_euler_diagram", f"SELECT sets, list_sort(list(user_id)) AS elements FROM (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS sets FROM ({_EARLY}) GROUP BY user_id) GROUP BY sets")
+@query("e03_euler_diagram", f"SELECT sets, list_sort(list(element)) AS elements FROM (SELECT element, string_agg(event_type, ',' ORDER BY event_type) AS sets FROM ({_MEMBERS}) GROUP BY element) GROUP BY sets")
 def e03(spark, sf_dir):
     return S.euler(_members(spark, sf_dir)).select(F.array_join("sets", ",").alias("sets"), "elements")
 
 
-@query("e04_euler_boundaries", f"SELECT a.event_type AS set_key, string_agg(DISTINCT b.event_type, ',' ORDER BY b.event_type) AS neighbours FROM ({_EARLY}) a JOIN ({_EARLY}) b ON a.user_id = b.user_id AND a.event_type <> b.event_type GROUP BY a.event_type")
+@query("e04_euler_boundaries", f"SELECT a.event_type AS set_key, string_agg(DISTINCT b.event_type, ',' ORDER BY b.event_type) AS neighbours FROM ({_MEMBERS}) a JOIN ({_MEMBERS}) b ON a.element = b.element AND a.event_type <> b.event_type GROUP BY a.event_type")
 def e04(spark, sf_dir):
     return S.boundaries(_members(spark, sf_dir)).select("set_key", F.array_join("neighbours", ",").alias("neighbours"))
 
@@ -30,12 +31,12 @@ def e04(spark, sf_dir):
 sql("e05_euler_match", "SELECT event_type FROM {events} WHERE user_id IN (1, 2, 3) GROUP BY event_type HAVING count(DISTINCT user_id) = 3")
 
 
-@query("e06_overlap_statistics", f"SELECT n, count(*) AS elements FROM (SELECT user_id, count(*) AS n FROM ({_EARLY}) GROUP BY user_id) GROUP BY n")
+@query("e06_overlap_statistics", f"SELECT n, count(*) AS elements FROM (SELECT element, count(*) AS n FROM ({_MEMBERS}) GROUP BY element) GROUP BY n")
 def e06(spark, sf_dir):
     return S.euler(_members(spark, sf_dir)).groupBy(F.size("sets").cast("long").alias("n")).agg(F.sum(F.size("elements")).cast("long").alias("elements"))
 
 
-@query("e07_truncated_samples", f"SELECT sets, array_to_string(list_sort(list(user_id))[1:3], ',') || CASE WHEN count(*) > 3 THEN ',...' ELSE '' END AS sample FROM (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS sets FROM ({_EARLY}) GROUP BY user_id) GROUP BY sets")
+@query("e07_truncated_samples", f"SELECT sets, array_to_string(list_sort(list(element))[1:3], ',') || CASE WHEN count(*) > 3 THEN ',...' ELSE '' END AS sample FROM (SELECT element, string_agg(event_type, ',' ORDER BY event_type) AS sets FROM ({_MEMBERS}) GROUP BY element) GROUP BY sets")
 def e07(spark, sf_dir):
     d = S.euler(_members(spark, sf_dir))
     return d.select(F.array_join("sets", ",").alias("sets"), F.concat(F.array_join(F.slice("elements", 1, 3), ","), F.when(F.size("elements") > 3, ",...").otherwise("")).alias("sample"))

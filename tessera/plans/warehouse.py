@@ -83,11 +83,11 @@ def u04(spark, sf_dir):
     return v.select("user_id", "version", "event_type", "valid_from", F.max_by("event_type", "version").over(Window.partitionBy("user_id")).alias("current_value"))
 
 
-@query("u05_generic_upsert", """WITH s AS (SELECT * FROM (SELECT o_custkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders WHERE o_orderkey % 5 = 0) WHERE r = 1)
+@query("u05_generic_upsert", """WITH s AS (SELECT * FROM (SELECT o_custkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1)
           SELECT k, v FROM s UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM s)""")
 def u05(spark, sf_dir):
     target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(0).cast("long").alias("o"))
-    source = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("o"))
+    source = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("o"))
     return W.upsert(target, source, ["k"], [F.desc("o")]).select("k", "v")
 
 
