@@ -31,14 +31,29 @@ def allocate(facts: DataFrame, bridge: DataFrame, group: str, value: str, weight
     return bridge.withColumn("_w", share).join(facts, group).withColumn("allocated", F.col(value) * F.col("_w")).drop("_w")
 
 
+def depth(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, keys: Sequence[str] = (), closed: bool = True, width: int = 3600) -> DataFrame:
+    """``points`` with the number of ``spans`` of their keys that hold them, [start, end] or, unless ``closed``, [start, end): column ``depth``.
+
+    Starts and ends are changes of a running sum, so no pair of a point and a span is formed. Sums run in two steps,
+    within buckets of ``width`` seconds and over the buckets, so no key's rows are ordered in one task.
+    """
+    row = F.struct(*points.columns)
+    none = F.lit(None).cast(points.select(row.alias("r")).schema["r"].dataType)
+    order = (0, 1, 2) if closed else (0, 1, 0)  # of starts, points and ends at the same time
+    real = spans.filter(F.col(start) <= F.col(end) if closed else F.col(start) < F.col(end))
+    marks = [(real, start, order[0], 1, none), (points, at, order[1], 0, row), (real, end, order[2], -1, none)]
+    parts = [df.select(*keys, F.col(t).alias("_t"), F.lit(o).alias("_o"), F.lit(d).alias("_d"), r.alias("_row")) for df, t, o, d, r in marks]
+    all_ = parts[0].union(parts[1]).union(parts[2]).filter("_t IS NOT NULL").withColumn("_b", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / (width * 1_000_000)))
+    sums = all_.groupBy(*keys, "_b").agg(F.sum("_d").alias("_s"))
+    before = sums.select(*keys, "_b", (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s")).alias("_before"))
+    inner = F.sum("_d").over(Window.partitionBy(*keys, "_b").orderBy("_t", "_o"))
+    out = all_.withColumn("_in", inner).filter("_row IS NOT NULL").join(before, [*keys, "_b"])
+    return out.select("_row.*", (F.col("_in") + F.col("_before")).cast("long").alias("depth"))
+
+
 def open_at_start(spans: DataFrame, group: str, start: str, end: str) -> DataFrame:
     """For each span the number of spans [start, end) of its group, itself included, that hold its start: column ``depth``."""
-    marks = spans.select(group, F.col(start).alias("_t"), F.lit(1).alias("_d"), F.struct(*spans.columns).alias("_row")).filter(F.col(start) < F.col(end))
-    points = spans.select(group, F.col(start).alias("_t"), F.lit(0).alias("_d"), F.struct(*spans.columns).alias("_row"))
-    ends = spans.filter(F.col(start) < F.col(end)).select(group, F.col(end).alias("_t"), F.lit(-1).alias("_d"), F.struct(*spans.columns).alias("_row"))
-    w = Window.partitionBy(group).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    all_ = marks.unionByName(points).unionByName(ends).withColumn("depth", F.sum("_d").over(w).cast("long"))
-    return all_.filter("_d = 0").select("_row.*", "depth")
+    return depth(spans, spans, start, start, end, [group], closed=False)
 
 
 def stab(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: Sequence[str] = (), width: int = 86_400) -> DataFrame:

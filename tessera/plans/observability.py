@@ -52,4 +52,9 @@ sql("g18_critical_share", f"""WITH {EXEC} SELECT run_date, task, round(sum(ms) /
 sql("d60_strategy_comparison", f"""WITH {EXEC}, a AS (SELECT task, avg(ms) AS m FROM x WHERE attempt = 1 GROUP BY task), b AS (SELECT task, avg(ms) AS m FROM x WHERE attempt = 2 GROUP BY task)
         SELECT coalesce(a.task, b.task) AS task, round(a.m / nullif(b.m, 0), 6) AS speedup, round(100 * (a.m - b.m) / nullif(a.m, 0), 6) AS pct FROM a FULL OUTER JOIN b ON a.task = b.task""")
 sql("d61_scaling_table", f"""WITH {EXEC}, s AS (SELECT CAST(1 + event_id % 8 AS INT) AS workers, avg(ms) AS t FROM x GROUP BY 1) SELECT workers, round(first_value(t) OVER (ORDER BY workers) / t, 6) AS speedup, round(first_value(t) OVER (ORDER BY workers) / t / workers * 100, 6) AS efficiency FROM s""")
-sql("d62_routing", "SELECT event_id % 4 AS worker, count(*) AS n, round(sum(value), 4) AS load FROM {events} GROUP BY event_id % 4")
+# Who gets an item: in turn, by a hash of its key, by ranges of its key, the shard with the most room by quota, one of two that the last digit
+# steals from, at most ten a minute and worker (others wait), and the last hundred of a bounded queue (older ones drop).
+sql("d62_routing", """WITH n AS (SELECT event_id, user_id, ts, value, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS i, row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id % 4, date_trunc('minute', ts) ORDER BY ts, event_id) AS m, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS back FROM {events}),
+            r AS (SELECT 'round robin' AS strategy, i % 4 AS worker, value FROM n UNION ALL SELECT 'sharded', user_id % 4, value FROM n UNION ALL SELECT 'ranges', least(3, CAST(floor(value / 25) AS BIGINT)), value FROM n
+                  UNION ALL SELECT 'stealing', CASE WHEN user_id % 4 = 3 AND event_id % 10 < 5 THEN event_id % 3 ELSE user_id % 4 END, value FROM n UNION ALL SELECT 'throttled', CASE WHEN m <= 10 THEN user_id % 4 ELSE -1 END, value FROM n UNION ALL SELECT 'drop oldest', CASE WHEN back <= 100 THEN i % 4 ELSE -1 END, value FROM n)
+       SELECT strategy, worker, count(*) AS n, round(sum(value), 4) AS load, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY strategy), 6) AS share FROM r GROUP BY strategy, worker""")

@@ -109,7 +109,13 @@ sql("f23_name_similarity", """WITH w AS (SELECT p_brand, p_type, count(*) AS par
        SELECT a.p_brand AS brand, a.p_type AS a, b.p_type AS b, a.parts * b.parts AS pairs, round(size(array_intersect(a.k, b.k)) * 1.0 / least(size(a.k), size(b.k)), 6) AS sim, size(array_intersect(a.k, b.k)) * 1.0 / greatest(size(a.k), size(b.k)) > 0.8 AS dup FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type < b.p_type""",
     """WITH w AS (SELECT p_brand, p_type, count(*) AS parts, list_distinct(string_split(lower(p_type), ' ')) AS k FROM part GROUP BY p_brand, p_type)
        SELECT a.p_brand AS brand, a.p_type AS a, b.p_type AS b, a.parts * b.parts AS pairs, round(len(list_intersect(a.k, b.k)) * 1.0 / least(len(a.k), len(b.k)), 6) AS sim, len(list_intersect(a.k, b.k)) * 1.0 / greatest(len(a.k), len(b.k)) > 0.8 AS dup FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type < b.p_type""")
-sql("f24_confidence", """SELECT doc_id, round(0.4 * q + 0.6 * (0.5 + 0.5 * (doc_id % 4) / 4.0), 6) AS confidence FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0.6 WHEN doc_id % 7 = 1 THEN 0.7 WHEN doc_id % 7 <= 3 THEN 0.8 WHEN doc_id % 7 <= 5 THEN 0.9 ELSE 0.95 END AS q FROM {documents})""")
+# Categories are sources, texts their documents; similarity is the share of a text's words that its category's first one has too. Weights as for
+# texts without a second model: 0.35 model, 0.25 similarity, 0.2 keywords, 0.1 maturity, 0.1 pass.
+_CONFIDENCE = """WITH w AS (SELECT doc_id, source, {words} AS k FROM {documents}), n AS (SELECT source, count(*) AS n, min(doc_id) AS first FROM {documents} GROUP BY source), c AS (SELECT count(*) AS total FROM n),
+            f AS (SELECT w.source, w.k FROM w JOIN n ON w.doc_id = n.first), s AS (SELECT doc_id, w.source, n.n, total, least(1e0, {size}(w.k) / 1e3) AS model, {size}({both}(w.k, f.k)) * 1e0 / greatest({size}(w.k), 1) AS sim, doc_id % 4 AS pass FROM w JOIN n ON n.source = w.source JOIN f ON f.source = w.source CROSS JOIN c)
+       SELECT doc_id, round(3.5e-1 * model + 2.5e-1 * sim + 2e-1 * sim + 1e-1 * CASE WHEN total <= 1 THEN 1e0 WHEN n = 0 THEN 6e-1 WHEN n = 1 THEN 7e-1 WHEN n <= 3 THEN 8e-1 WHEN n <= 5 THEN 9e-1 ELSE 9.5e-1 END + 1e-1 * (5e-1 + 5e-1 * pass / 4e0), 9) AS confidence FROM s"""
+sql("f24_confidence", _CONFIDENCE.replace("{words}", "array_distinct(split(lower(coalesce(text, '')), ' '))").replace("{size}", "size").replace("{both}", "array_intersect"),
+    _CONFIDENCE.format(words="list_distinct(string_split(lower(coalesce(text, '')), ' '))", size="len", both="list_intersect", documents="documents"))
 sql("f33_plane_metrics", "SELECT s_suppkey, round(sqrt(pow(s_acctbal, 2) + pow(s_nationkey, 2)), 4) AS euclid, round(abs(s_acctbal) + s_nationkey, 4) AS manhattan FROM {supplier}")
 sql("f37_unit_exponents", "SELECT k, aggregate(transform(regexp_extract_all(u, 'm([-0-9]+)', 1), x -> CAST(x AS INT)), 0, (a, b) -> a + b) AS metres FROM (SELECT n_nationkey AS k, concat('kg1 m', n_nationkey % 4, ' s-2 m1') AS u FROM {nation})",
     "SELECT k, list_sum(list_transform(regexp_extract_all(u, 'm([-0-9]+)', 1), lambda x: x::INT))::INT AS metres FROM (SELECT n_nationkey AS k, 'kg1 m' || (n_nationkey % 4) || ' s-2 m1' AS u FROM nation)")

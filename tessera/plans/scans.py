@@ -52,8 +52,9 @@ sql("p08_array_membership", """SELECT user_id FROM (SELECT user_id, collect_set(
 sql("p09_regex_ignore_case", "SELECT p_partkey FROM {part} WHERE p_type RLIKE '(?i)steel|brass'", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, 'steel|brass', 'i')")
 sql("p10_last_days", "SELECT event_id FROM {events} WHERE CAST(ts AS DATE) >= (SELECT date_sub(CAST(max(ts) AS DATE), 6) FROM {events})",
     "SELECT event_id FROM events WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 6 FROM events)")
-sql("p11_coerced_dates", """SELECT o_orderkey, try_to_timestamp(concat('x', o_orderkey)) IS NULL AS bad FROM {orders} WHERE o_orderdate > TIMESTAMP '2000-01-01'""",
-    "SELECT o_orderkey, TRY_CAST('x' || o_orderkey AS TIMESTAMP) IS NULL AS bad FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01'")
+_RAW = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'soon' WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN '1999-02-30' ELSE substr(CAST(o_orderdate AS {t}), 1, 10) END AS raw, CASE WHEN o_orderkey % 17 > 0 THEN o_orderpriority END AS task FROM {orders})"
+sql("p11_coerced_dates", "SELECT o_orderkey, try_cast(raw AS DATE) AS day, task FROM " + _RAW.replace("{t}", "STRING") + " WHERE try_cast(raw AS DATE) > DATE '1996-01-01' AND task IS NOT NULL",
+    "SELECT o_orderkey, try_cast(raw AS DATE) AS day, task FROM " + _RAW.format(t="VARCHAR", orders="orders") + " WHERE try_cast(raw AS DATE) > DATE '1996-01-01' AND task IS NOT NULL")
 sql("p12_mapping_default",
     """SELECT d.doc_id, coalesce(m.name, 'Unknown') AS language FROM {documents} d LEFT JOIN (VALUES ('en', 'English'), ('fr', 'French')) AS m(code, name) ON d.lang = m.code""")
 sql("p13_role_playing_dimension",
