@@ -1,3 +1,3 @@
 """The library's named queries, by theme."""
 
-from tessera.plans import aggregates, flows, graphs, joins, mining, observability, orchestration, paging, scalars, scans, series, sets, warehouse, windows  # noqa: F401
+from tessera.plans import aggregates, fields, flows, graphs, joins, mining, observability, orchestration, paging, scalars, scans, series, sets, warehouse, windows  # noqa: F401
