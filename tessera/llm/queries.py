@@ -81,7 +81,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+#: Components of links (u, v) by least ids; {nodes} has all ids.
+_COMPONENTS = """b AS MATERIALIZED (SELECT u AS x, v AS y FROM links UNION SELECT v, u FROM links),
+             c(node, component) USING KEY (node) AS (SELECT id, id FROM {nodes} UNION SELECT b.x, min(n.component) FROM c AS n JOIN b ON b.y = n.node JOIN recurring.c AS own ON own.node = b.x WHERE n.component < own.component GROUP BY b.x)"""
+
 SQL = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS MATERIALIZED (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+             n AS MATERIALIZED (SELECT w.id, count(g) AS n FROM w LEFT JOIN s ON s.id = w.id GROUP BY w.id),
+             p AS (SELECT a.id AS u, b.id AS v, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+             links AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE 100 * common >= 90 * (x.n + y.n - common)),
+             """
+    + _COMPONENTS.format(nodes="n")
+    + """
+        SELECT id AS doc_id, n AS n_shingles, component AS component_id FROM n JOIN c ON c.node = n.id""",
+    "op4_near_vectors": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+             g AS MATERIALIZED (SELECT id, label, v FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+             links AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM g a JOIN g b ON a.label = b.label AND a.id < b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+             """
+    + _COMPONENTS.format(nodes="e")
+    + """
+        SELECT id AS vec_id, (SELECT count(*) FROM b WHERE x = id) AS n_links, component AS component_id, id = component AS kept FROM e JOIN c ON c.node = e.id""",
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
