@@ -137,3 +137,19 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, src: str = "src", dst: st
 def semver_suggestion(diff: DataFrame, change: str = "change") -> DataFrame:
     """The version bump that a diff of specs asks for: MAJOR if something went, MINOR if something came, else PATCH."""
     return diff.agg(F.when(F.count_if(F.col(change) == "REMOVED") > 0, "MAJOR").when(F.count_if(F.col(change) == "ADDED") > 0, "MINOR").otherwise("PATCH").alias("bump"))
+
+
+def longest_paths(edges: DataFrame, weights: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """The heaviest path that ends in each node of a DAG, by the nodes' weights (node, weight): node, cost, before (the node ahead on it). Level by level."""
+    spark = edges.sparkSession
+    e = _kept(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    nodes = _kept(levels(e).join(weights.select("node", F.col("weight").cast("double").alias("w")), "node"))
+    path = _path(spark)
+    done = _kept(nodes.filter("level = 0").select("node", F.col("w").alias("cost"), F.lit(None).cast("long").alias("before")), f"{path}/level=0")
+    kind = done.schema
+    for level in range(1, (nodes.agg(F.max("level")).first()[0] or 0) + 1):
+        now = nodes.filter(F.col("level") == level).join(e.withColumnRenamed("dst", "node"), "node")
+        best = now.join(done.select(F.col("node").alias("src"), "cost"), "src").groupBy("node").agg(F.max(F.struct("cost", F.col("src").alias("before"))).alias("b"), F.first("w").alias("w"))
+        _kept(best.select("node", (F.col("b.cost") + F.col("w")).alias("cost"), F.col("b.before").alias("before")), f"{path}/level={level}")
+        done = spark.read.schema(kind).parquet(f"{path}/level=*")
+    return done

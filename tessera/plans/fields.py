@@ -114,3 +114,67 @@ def j25(spark, sf_dir):
     """An optimiser's answer, by id only, merged back to the whole rows."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     return s.join(s.select("s_suppkey", (F.col("s_suppkey") % 5).cast("int").alias("new_cluster")), "s_suppkey", "left")
+
+
+sql("s04_generated_amounts", "SELECT id % 10 AS region_id, CAST(year(date_add(DATE '2023-07-01', CAST(id % 365 AS INT))) AS INT) AS y, CAST(month(date_add(DATE '2023-07-01', CAST(id % 365 AS INT))) AS INT) AS m, count(*) AS n, round(sum(id * 7919 % 100003 / 1e2), 2) AS amount FROM range(500000) GROUP BY 1, 2, 3",
+    "SELECT range % 10 AS region_id, year(DATE '2023-07-01' + CAST(range % 365 AS INT))::INT AS y, month(DATE '2023-07-01' + CAST(range % 365 AS INT))::INT AS m, count(*) AS n, round(sum(range * 7919 % 100003 / 1e2), 2) AS amount FROM range(500000) GROUP BY 1, 2, 3")
+sql("s23_capped_trajectory", "SELECT user_id, step, value FROM (SELECT user_id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS step FROM {events}) WHERE step % 5 = 0 AND step < 50")
+sql("p02_validity", f"WITH {_MODAL} SELECT user_id, event_type FROM dim WHERE valid_from <= DATE '2024-01-12' AND (until > DATE '2024-01-12' OR until IS NULL)", f"WITH {_MODAL.format(events='events')} SELECT user_id, event_type FROM dim WHERE valid_from <= DATE '2024-01-12' AND (until > DATE '2024-01-12' OR until IS NULL)")
+_WIDE = """WITH x AS (SELECT event_id, user_id AS run_id, event_type AS task, value AS ms, CAST(ts AS DATE) AS d, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS mi FROM {events})
+       SELECT event_id, run_id, task, concat(task, '_', CAST(run_id % 4 AS {s})) AS chunk_name, CAST(run_id % 4 AS INT) AS chunk_index, d AS run_date, CAST(year(d) AS INT) AS y, CAST(month(d) AS INT) AS m, CAST(day(d) AS INT) AS dd, CAST(quarter(d) AS INT) AS q, {week} AS week_label, {dow} AS dow, {dow} >= 6 AS is_weekend, d = last_day(d) AS is_month_end, day(d) = 1 AS is_month_start, last_day(d) AS month_end, CAST(date_trunc('month', d) AS DATE) AS month_start, CAST(date_trunc('week', d) AS DATE) AS week_start, {age} AS age_days, h, mi, h * 60 + mi AS minute_of_day, CASE WHEN h < 6 THEN 'night' WHEN h < 12 THEN 'morning' WHEN h < 18 THEN 'afternoon' ELSE 'evening' END AS part_of_day,
+              round(ms, 4) AS ms, round(ms / 1000, 6) AS seconds, ms > 90 AS is_slow, CASE WHEN ms < 25 THEN 'fast' WHEN ms < 75 THEN 'normal' ELSE 'slow' END AS band, task = 'error' AS is_failure, event_id = max(event_id) OVER (PARTITION BY task) AS is_latest, row_number() OVER (PARTITION BY run_id, d ORDER BY event_id) AS n_in_day, count(*) OVER (PARTITION BY run_id, d) AS day_total, round(ms - avg(ms) OVER (PARTITION BY task), 4) AS off_mean, round(100 * ms / sum(ms) OVER (PARTITION BY run_id, d), 4) AS share, upper(task) AS label, length(task) AS task_length FROM x"""
+sql("p16_wide_rows", _WIDE.replace("{s}", "STRING").replace("{week}", "concat(extract(YEAROFWEEK FROM d), '-W', lpad(CAST(weekofyear(d) AS STRING), 2, '0'))").replace("{dow}", "CAST(weekday(d) + 1 AS INT)").replace("{age}", "datediff(DATE '2024-02-01', d)"),
+    _WIDE.format(s="VARCHAR", week="isoyear(d) || '-W' || lpad(weekofyear(d)::VARCHAR, 2, '0')", dow="isodow(d)::INT", age="date_diff('day', d, DATE '2024-02-01')::INT", events="events"))
+sql("j26_nearest_places", f"""WITH p AS (SELECT k, k % 25 AS g, lat, lon FROM {_P}), d AS (SELECT a.k AS a, b.k AS b, 2 * 6371 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS km FROM p a JOIN p b ON a.g = b.g AND a.k <> b.k)
+       SELECT a, b, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(km, 6), b) AS r FROM d) WHERE r <= 3""")
+sql("u04_other_types", f"WITH {_MODAL}, v AS (SELECT user_id, event_type, valid_from, row_number() OVER (PARTITION BY user_id ORDER BY valid_from) AS version, count(*) OVER (PARTITION BY user_id) AS versions, last_value(event_type) OVER (PARTITION BY user_id ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM dim) SELECT user_id, version, version = versions AS in_current_table, event_type AS history_value, now AS mini_dimension_key, concat(user_id, '-', version) AS version_key, user_id AS durable_key FROM v",
+    f"WITH {_MODAL.format(events='events')}, v AS (SELECT user_id, event_type, valid_from, row_number() OVER (PARTITION BY user_id ORDER BY valid_from) AS version, count(*) OVER (PARTITION BY user_id) AS versions, last_value(event_type) OVER (PARTITION BY user_id ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM dim) SELECT user_id, version, version = versions AS in_current_table, event_type AS history_value, now AS mini_dimension_key, user_id || '-' || version AS version_key, user_id AS durable_key FROM v")
+# Bitmaps of a task's healthy days by version; a day without a version is left out, backfills (odd users) don't count.
+sql("u10_health_by_version", """WITH d AS (SELECT event_type AS k, day(ts) % 3 AS version, datediff(DATE '2024-01-30', CAST(ts AS DATE)) AS ago, count(*) FILTER (WHERE event_id % 11 = 0) = 0 AS ok FROM {events} WHERE user_id % 2 = 0 AND day(ts) % 5 > 0 GROUP BY 1, 2, 3) SELECT k, version, CAST(sum(CASE WHEN ok THEN shiftleft(1L, 31 - ago) ELSE 0 END) AS BIGINT) AS bitmap FROM d GROUP BY k, version""",
+    """WITH d AS (SELECT event_type AS k, day(ts) % 3 AS version, date_diff('day', CAST(ts AS DATE), DATE '2024-01-30')::INT AS ago, count(*) FILTER (event_id % 11 = 0) = 0 AS ok FROM events WHERE user_id % 2 = 0 AND day(ts) % 5 > 0 GROUP BY 1, 2, 3) SELECT k, version::INT AS version, sum(CASE WHEN ok THEN 1::BIGINT << (31 - ago) ELSE 0 END)::BIGINT AS bitmap FROM d GROUP BY k, version""")
+sql("g09_version_runs", "SELECT p_partkey div 3 AS parent, count(*) AS versions, sum(n) AS runs FROM {part} JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey) ON l_partkey = p_partkey GROUP BY 1", "SELECT p_partkey // 3 AS parent, count(*) AS versions, sum(n)::BIGINT AS runs FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey GROUP BY 1")
+sql("g15_styled_mermaid", """SELECT n_regionkey, array_join(array_sort(collect_list(concat('n', n_nationkey, '[', n_name, ']:::', CASE WHEN n_nationkey % 3 = 0 THEN 'failed' WHEN n_nationkey % 3 = 1 THEN 'running' ELSE 'success' END))), '; ') AS lines, 'classDef failed fill:#f66; classDef running fill:#ff9; classDef success fill:#6f6' AS styles FROM {nation} GROUP BY n_regionkey""",
+    """SELECT n_regionkey, string_agg(l, '; ' ORDER BY l) AS lines, 'classDef failed fill:#f66; classDef running fill:#ff9; classDef success fill:#6f6' AS styles FROM (SELECT n_regionkey, 'n' || n_nationkey || '[' || n_name || ']:::' || CASE WHEN n_nationkey % 3 = 0 THEN 'failed' WHEN n_nationkey % 3 = 1 THEN 'running' ELSE 'success' END AS l FROM nation) GROUP BY n_regionkey""")
+# Attempts of a task with delays that grow by one each time, until one succeeds or the retries are used up.
+sql("g16_retries", """WITH t AS (SELECT p_partkey AS task, CAST(p_size % 4 AS INT) AS retries, CAST(p_partkey % 6 AS INT) AS fails FROM {part}), a AS (SELECT task, retries, fails, {n} AS attempt FROM t {x})
+       SELECT task, attempt, attempt * (attempt + 1) / 2 * 30 AS starts_after, CASE WHEN attempt < fails AND attempt < retries THEN 'RETRY' WHEN attempt < fails THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM a""".replace("{n}", "attempt").replace("{x}", "LATERAL VIEW explode(sequence(0, least(retries, fails))) AS attempt"),
+    """WITH t AS (SELECT p_partkey AS task, CAST(p_size % 4 AS INT) AS retries, CAST(p_partkey % 6 AS INT) AS fails FROM part), a AS (SELECT task, retries, fails, unnest(range(least(retries, fails) + 1))::INT AS attempt FROM t)
+       SELECT task, attempt, attempt * (attempt + 1) / 2 * 30 AS starts_after, CASE WHEN attempt < fails AND attempt < retries THEN 'RETRY' WHEN attempt < fails THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM a""")
+sql("f31_ecef_jacobian", f"SELECT k, round(-6371000 * sin(radians(lat)) * cos(radians(lon)), 3) AS dx_dlat, round(-6371000 * cos(radians(lat)) * sin(radians(lon)), 3) AS dx_dlon, round(-6371000 * sin(radians(lat)) * sin(radians(lon)), 3) AS dy_dlat, round(6371000 * cos(radians(lat)) * cos(radians(lon)), 3) AS dy_dlon, round(6371000 * cos(radians(lat)), 3) AS dz_dlat FROM {_P}")
+sql("f33_great_circle_space", f"SELECT k, round(6371000 * acos(least(1, greatest(-1, sin(radians(lat)) * sin(radians(10)) + cos(radians(lat)) * cos(radians(10)) * cos(radians(lon - 20))))), 2) AS metres, round(pow(6371000 * radians(1), 2) * cos(radians(lat)), 2) AS area_element FROM {_P}")
+sql("f34_more_kernels", "SELECT s_suppkey AS k, CASE WHEN d <= 1 THEN 1e0 ELSE 0e0 END AS uniform, round(exp(-d), 9) AS matern12, round((1 + sqrt(5) * d + 5 * d * d / 3) * exp(-sqrt(5) * d), 9) AS matern52 FROM (SELECT s_suppkey, (s_suppkey % 40) / 1e1 AS d FROM {supplier})")
+sql("f35_wasserstein", """WITH c AS (SELECT day(ts) AS i, count(*) FILTER (WHERE event_type = 'view') * 1e0 AS a, count(*) FILTER (WHERE event_type = 'click') * 1e0 AS b FROM {events} GROUP BY 1), p AS (SELECT i, a / sum(a) OVER () AS a, b / sum(b) OVER () AS b FROM c), f AS (SELECT sum(a - b) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM p) SELECT round(sum(abs(d)), 9) AS wasserstein FROM f""")
+sql("f45_rotating_frame", """SELECT p_partkey, round(p_retailprice * cos(1e-1 * p_size) + p_size * sin(1e-1 * p_size), 6) AS x, round(-p_retailprice * sin(1e-1 * p_size) + p_size * cos(1e-1 * p_size), 6) AS y, round(384400e3 * (1 - pow(1.2e-2 / 3, 1 / 3e0)), 3) AS l1, CASE WHEN p_size < 5 THEN 0 WHEN p_size < 20 THEN 1 ELSE -1 END AS body_hit FROM {part}""")
+sql("d26_months_and_trend", """WITH b AS (SELECT event_type AS k, CAST(ts AS DATE) AS d, max_by(value, struct(ts, event_id)) AS c FROM {events} GROUP BY 1, 2), m AS (SELECT k, d, c, avg(c) OVER (PARTITION BY k ORDER BY d ROWS 4 PRECEDING) AS ma FROM b) SELECT k, round(max_by(c, d) / nullif(min_by(c, d), 0) - 1, 6) AS month_return, round(100 * avg(CASE WHEN c > ma + 1e-9 THEN 1e0 ELSE 0e0 END), 4) AS above_pct FROM m GROUP BY k""",
+    """WITH b AS (SELECT event_type AS k, CAST(ts AS DATE) AS d, arg_max(value, (ts, event_id)) AS c FROM events GROUP BY 1, 2), m AS (SELECT k, d, c, avg(c) OVER (PARTITION BY k ORDER BY d ROWS 4 PRECEDING) AS ma FROM b) SELECT k, round(arg_max(c, d) / nullif(arg_min(c, d), 0) - 1, 6) AS month_return, round(100 * avg(CASE WHEN c > ma + 1e-9 THEN 1e0 ELSE 0e0 END), 4) AS above_pct FROM m GROUP BY k""")
+_BARS = "b AS (SELECT event_type AS k, CAST(ts AS DATE) AS d, avg(value) AS c FROM {events} GROUP BY 1, 2)"
+sql("d21_momentum_rule", f"WITH {_BARS}, m AS (SELECT k, d, c / lag(c, 3) OVER (PARTITION BY k ORDER BY d) - 1 AS r FROM b) SELECT k, d, CASE WHEN r > 2e-2 THEN 1 WHEN r < -2e-2 THEN -1 ELSE 0 END AS signal FROM m")
+sql("d21_cross_rule", f"WITH {_BARS}, m AS (SELECT k, d, avg(c) OVER (PARTITION BY k ORDER BY d ROWS 2 PRECEDING) - avg(c) OVER (PARTITION BY k ORDER BY d ROWS 6 PRECEDING) AS x FROM b), l AS (SELECT k, d, round(x, 9) AS x, round(lag(x) OVER (PARTITION BY k ORDER BY d), 9) AS y FROM m) SELECT k, d, CASE WHEN x > 0 AND y <= 0 THEN 1 WHEN x < 0 AND y >= 0 THEN -1 ELSE 0 END AS signal FROM l")
+sql("d21_reversion_rule", f"WITH {_BARS}, g AS (SELECT k, d, c - lag(c) OVER (PARTITION BY k ORDER BY d) AS x FROM b), r AS (SELECT k, d, avg(greatest(x, 0)) OVER w AS up, avg(greatest(-x, 0)) OVER w AS down FROM g WINDOW w AS (PARTITION BY k ORDER BY d ROWS 6 PRECEDING)) SELECT k, d, CASE WHEN up / nullif(up + down, 0) < 3e-1 THEN 1 WHEN up / nullif(up + down, 0) > 7e-1 THEN -1 ELSE 0 END AS signal FROM r")
+sql("d21_breakout_rule", f"WITH {_BARS}, m AS (SELECT k, d, c, max(c) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS hi, min(c) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS lo FROM b) SELECT k, d, CASE WHEN c > hi THEN 1 WHEN c < lo THEN -1 ELSE 0 END AS signal FROM m")
+sql("d31_centroid_distances", "WITH p AS (SELECT s_nationkey AS r, avg(s_suppkey * 37 % 120) AS x, avg(s_suppkey * 91 % 340) AS y FROM {supplier} GROUP BY s_nationkey) SELECT a.r AS a, b.r AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS centroid FROM p a JOIN p b ON a.r <> b.r")
+_BASKETS = "b AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d, event_type AS i FROM {events})"
+sql("d04_abandoned", f"WITH {_BASKETS}, s AS (SELECT user_id, d, bool_or(i = 'click') AS clicked, bool_or(i = 'purchase') AS bought, count(*) AS kinds FROM b GROUP BY user_id, d) SELECT kinds, count(*) FILTER (WHERE clicked AND NOT bought) AS abandoned, count(*) FILTER (WHERE clicked AND bought) AS closed FROM s GROUP BY kinds")
+sql("d04_cross_sell", f"WITH {_BASKETS} SELECT x.i AS have, y.i AS offer, count(*) AS together FROM b x JOIN b y ON x.user_id = y.user_id AND x.d = y.d AND x.i <> y.i GROUP BY x.i, y.i")
+sql("d04_top_combos", f"WITH {_BASKETS}, s AS (SELECT user_id, d, {{agg}} AS combo FROM b GROUP BY user_id, d) SELECT combo, count(*) AS n FROM s GROUP BY combo ORDER BY n DESC, combo LIMIT 10".replace("{agg}", "array_join(array_sort(collect_set(i)), ',')"),
+    f"WITH {_BASKETS.format(events='events')}, s AS (SELECT user_id, d, string_agg(i, ',' ORDER BY i) AS combo FROM b GROUP BY user_id, d) SELECT combo, count(*) AS n FROM s GROUP BY combo ORDER BY n DESC, combo LIMIT 10")
+
+
+@query("d48_merge_tree", "SELECT label, count(*) AS n, round(sum(embedding[1]::DOUBLE), 5) AS first, max(vec_id) AS last FROM embeddings GROUP BY label")
+def d48(spark, sf_dir):
+    """Partial clusterings of eight shards, merged two by two until one is left."""
+    part = table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % 8).alias("shard"), "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("embedding")[0].cast("double")).alias("first"), F.max("vec_id").alias("last"))
+    for _ in range(3):
+        part = part.groupBy(F.floor(F.col("shard") / 2).alias("shard"), "label").agg(F.sum("n").alias("n"), F.sum("first").alias("first"), F.max("last").alias("last"))
+    return part.select("label", "n", F.round("first", 5).alias("first"), "last")
+
+
+@query("g18_critical_path", """WITH RECURSIVE e AS (SELECT p_partkey AS dst, p_partkey // 2 AS src FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 3 AND p_partkey % 3 = 0), w AS (SELECT p_partkey AS node, p_size::DOUBLE AS w FROM part UNION SELECT 1, 1 WHERE 1 NOT IN (SELECT p_partkey FROM part)),
+       r(node, cost) USING KEY (node) AS (SELECT node, w FROM w WHERE node = 1 UNION SELECT e.dst, max(n.cost + w.w) FROM r AS n JOIN e ON e.src = n.node JOIN w ON w.node = e.dst LEFT JOIN recurring.r AS own ON own.node = e.dst WHERE own.cost IS NULL OR n.cost + w.w > own.cost GROUP BY e.dst)
+       SELECT node, cost FROM r""")
+def g18(spark, sf_dir):
+    """The slowest chain that ends in each task of the graph, by the parts' sizes as durations."""
+    from tessera.operators import graph as G
+    from tessera.plans.graphs import dag
+
+    return G.longest_paths(dag(spark, sf_dir), table(spark, sf_dir, "part").selectExpr("p_partkey AS node", "p_size AS weight")).select("node", "cost")

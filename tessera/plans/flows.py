@@ -254,3 +254,62 @@ def t09(spark, sf_dir):
 
 
 sql("t10_replay", """SELECT user_id, event_id, round(value, 4) AS price, round(max(value) OVER w, 4) AS high, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+
+
+@query("s06_delimited_scan", "SELECT count(*) FILTER (n_nationkey % 5 > 0) AS good, count(*) FILTER (n_nationkey % 5 = 0) AS bad, sum(n_regionkey) FILTER (n_nationkey % 5 > 0)::BIGINT AS regions, 'c1,c2,c3' AS columns FROM nation")
+def s06(spark, sf_dir):
+    """A headerless ; file whose columns are counted and named, with rows whose number does not parse."""
+    path = _place(spark, "delimited")
+    n = table(spark, sf_dir, "nation")
+    n.select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 5 == 0, "x").otherwise(F.col("n_regionkey").cast("string")).alias("r")).write.csv(path, sep=";")
+    raw = files.read_delimited(spark, path)
+    good, bad = files.split_bad(raw, {"c1": "long", "c3": "int"})
+    return good.agg(F.count(F.lit(1)).alias("good"), F.sum("c3").alias("regions")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad"))).select("good", "bad", "regions", F.lit(",".join(raw.columns)).alias("columns"))
+
+
+@query("s13_converted_dates", "SELECT CASE WHEN o_orderkey % 7 > 0 THEN date_trunc('year', o_orderdate)::DATE END AS y, count(*) AS n FROM orders GROUP BY 1")
+def s13(spark, sf_dir):
+    """Text with some dates that are none, to compressed Parquet with dates or null."""
+    raw, path = _place(spark, "text"), _place(spark, "converted")
+    o = table(spark, sf_dir, "orders")
+    o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("d")).write.csv(raw, header=True)
+    d = spark.read.csv(raw, header=True).select(F.col("o_orderkey").cast("long").alias("k"), F.expr("try_cast(d AS DATE)").alias("d"))
+    files.write_layout(d, path, compression="zstd")
+    return spark.read.parquet(path).groupBy(F.trunc("d", "year").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s15_json_sets", "SELECT DISTINCT p_brand AS set_key, p_size::VARCHAR AS element FROM part")
+def s15(spark, sf_dir):
+    path = _place(spark, "json")
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set(F.col("p_size").cast("string")).alias("v"))
+    p.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "v")))).alias("value")).write.text(path)
+    return files.read_sets(spark, path)
+
+
+def _html(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    row = F.concat(F.lit("<tr><td> "), "n_name", F.lit(" </td><td><b>"), F.col("n_nationkey"), F.lit("</b></td>"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("<td>"), F.col("n_nationkey") * 3, F.lit("</td>"))).otherwise(""), F.lit("</tr>"))
+    rows = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("r"))
+    return rows.select("n_regionkey", F.concat(F.lit("<table>\n<tr><th>Name</th><th>Key</th></tr>\n"), "r", F.lit("</table>")).alias("html"))
+
+
+@query("s17_html_tables", "SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS row, n_name AS name, n_nationkey::DOUBLE AS value FROM nation UNION ALL SELECT DISTINCT n_regionkey, 0, 'Name', NULL FROM nation")
+def s17t(spark, sf_dir):
+    return files.html_rows(_html(spark, sf_dir), "n_regionkey", "html").select("n_regionkey", "row", F.col("cells")[0].alias("name"), F.expr("try_cast(cells[1] AS DOUBLE)").alias("value"))
+
+
+@query("s18_three_cells", "SELECT n_regionkey, n_name AS name, (n_nationkey * 3)::VARCHAR AS third FROM nation WHERE n_nationkey % 2 = 0")
+def s18(spark, sf_dir):
+    return files.html_rows(_html(spark, sf_dir), "n_regionkey", "html", cells=3).select("n_regionkey", F.col("cells")[0].alias("name"), F.col("cells")[2].alias("third"))
+
+
+@query("s19_log_lines", "SELECT event_type AS appname, count(*) FILTER (event_id % 9 > 0) AS n, count(*) FILTER (event_id % 9 = 0) AS invalid FROM events GROUP BY event_type")
+def s19l(spark, sf_dir):
+    """Syslog lines ending in JSON, some cut short; those go to quarantine and are counted by the application in their prefix."""
+    e = table(spark, sf_dir, "events")
+    body = F.to_json(F.struct(F.col("event_type").alias("appname"), F.lit("info").alias("severity"), F.col("ts").cast("string").alias("timestamp")))
+    lines = e.select(F.concat(F.lit("Jan 1 host "), "event_type", F.lit("[1]: "), F.when(F.col("event_id") % 9 == 0, F.substring(body, 1, 12)).otherwise(body)).alias("value"))
+    good, bad = files.parse_log_lines(lines)
+    n = good.groupBy("appname").agg(F.count(F.lit(1)).alias("n"))
+    m = bad.groupBy(F.regexp_extract("value", r"host (\w+)\[", 1).alias("appname")).agg(F.count(F.lit(1)).alias("invalid"))
+    return n.join(m, "appname", "full").fillna(0)

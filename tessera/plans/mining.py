@@ -22,7 +22,8 @@ sql("d04_next_item", RULES + " WHERE p.a = 'view' ORDER BY lift DESC, consequent
 sql("l10_top_rules", RULES + " ORDER BY lift DESC, antecedent, consequent LIMIT 5")
 
 
-@query("d02_frequent_itemsets")
+@query("d02_frequent_itemsets", """WITH k AS (SELECT event_type AS i, 1 << (row_number() OVER (ORDER BY event_type) - 1)::INT AS bit FROM (SELECT DISTINCT event_type FROM events)), b AS (SELECT user_id, CAST(ts AS DATE) AS d, sum(DISTINCT bit)::INT AS mask FROM events JOIN k ON i = event_type GROUP BY 1, 2),
+            s AS (SELECT range::INT AS s FROM range(1, 1 << (SELECT count(*) FROM k)::INT)), f AS (SELECT s, count(*) AS freq FROM s JOIN b ON mask & s = s GROUP BY s) SELECT (SELECT list(i ORDER BY i) FROM k WHERE bit & s > 0) AS items, freq FROM f WHERE freq >= 0.05 * (SELECT count(*) FROM b)""")
 def d02(spark, sf_dir):
     """Itemsets of any size by FP-growth."""
     from pyspark.ml.fpm import FPGrowth

@@ -79,14 +79,17 @@ def d27(spark, sf_dir):
     return s.select("k", (F.round(scalar.haversine(F.lit(0.0), F.lit(0.0), F.col("lat"), F.col("lon")), 3) <= 5_000_000).alias("inside"))
 
 
-@query("d27_geofence_probability")
+@query("d27_geofence_probability", """WITH s AS (SELECT s_suppkey AS k, pow((s_suppkey % 600) / sqrt(pow(20 + s_suppkey % 80, 2) + 225), 2) / 2 AS l, pow(300 / sqrt(pow(20 + s_suppkey % 80, 2) + 225), 2) / 2 AS v FROM supplier),
+       t AS (SELECT k, j, exp(-l + j * ln(greatest(l, 1e-300)) - lgamma(j + 1)) AS w, sum(exp(-v + j * ln(v) - lgamma(j + 1))) OVER (PARTITION BY k ORDER BY j ROWS UNBOUNDED PRECEDING) AS tail FROM s CROSS JOIN (SELECT range AS j FROM range(400)))
+       SELECT k, round(least(1, greatest(0, sum(w * (1 - tail)))), 6) AS p FROM t GROUP BY k""")
 def d27p(spark, sf_dir):
     """Chance that a place with an error is within 300 m of a fence's centre, by the Rice distribution."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 600).cast("double").alias("d"), (20 + F.col("s_suppkey") % 80).cast("double").alias("s"), F.lit(15.0).alias("t"))
     return spatial.within_probability(s, "d", "s", "t", 300.0).select("k", F.round("p", 6).alias("p"))
 
 
-@query("d34_region_probability")
+@query("d34_region_probability", """WITH a AS (SELECT (range + 0.5) / 200 * 0.1 - 0.05 AS v FROM range(200)), g AS (SELECT x.v AS lat, y.v AS lon FROM a x CROSS JOIN a y), d AS (SELECT cos(radians(lat)) AS w, 2 * 6371000 * asin(sqrt(pow(sin(radians(lat) / 2), 2) + cos(radians(lat)) * pow(sin(radians(lon) / 2), 2))) AS d FROM g)
+       SELECT sum(exp(-pow(d / 1000.0, 2) / 2) * w) FILTER (d <= 1500) / sum(exp(-pow(d / 1000.0, 2) / 2) * w) AS probability FROM d""")
 def d34(spark, sf_dir):
     """Mass of a normal density in a disc, on a grid."""
     g = spatial.grid(spark, -0.05, 0.05, -0.05, 0.05, 200)

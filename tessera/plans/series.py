@@ -79,9 +79,14 @@ def _signals(spark, sf_dir):
     return bars(spark, sf_dir).withColumn("signal", F.when(c > F.avg(c).over(by().rowsBetween(-4, 0)), 1).otherwise(-1))
 
 
-@query("d22_backtest")
+@query("d22_backtest", f"""WITH RECURSIVE {BARS}, g AS (SELECT k, d, close AS p, CASE WHEN close > avg(close) OVER (PARTITION BY k ORDER BY d ROWS 4 PRECEDING) THEN 1 ELSE -1 END AS s, row_number() OVER (PARTITION BY k ORDER BY d) AS i FROM bars),
+       r AS (SELECT k, 0::BIGINT AS i, NULL::DATE AS d, 0.0::DOUBLE AS p, 10000.0::DOUBLE AS cash, 0.0::DOUBLE AS held, 0.0::DOUBLE AS entry, 0::BIGINT AS trades FROM (SELECT DISTINCT k FROM bars)
+             UNION ALL SELECT g.k, g.i, g.d, g.p, CASE WHEN r.held > 0 AND (g.p <= r.entry * (1 - 0.05::DOUBLE) OR g.p >= r.entry * (1 + 0.1::DOUBLE) OR g.s < 0) THEN r.held * g.p * (1 - 0.0005::DOUBLE) * (1 - 0.001::DOUBLE) WHEN r.held = 0 AND g.s > 0 AND g.p > 0 THEN 0 ELSE r.cash END,
+                    CASE WHEN r.held > 0 AND (g.p <= r.entry * (1 - 0.05::DOUBLE) OR g.p >= r.entry * (1 + 0.1::DOUBLE) OR g.s < 0) THEN 0 WHEN r.held = 0 AND g.s > 0 AND g.p > 0 THEN r.cash * (1 - 0.001::DOUBLE) / (g.p * (1 + 0.0005::DOUBLE)) ELSE r.held END,
+                    CASE WHEN r.held = 0 AND g.s > 0 AND g.p > 0 THEN g.p * (1 + 0.0005::DOUBLE) ELSE r.entry END, r.trades + CASE WHEN r.held > 0 AND (g.p <= r.entry * (1 - 0.05::DOUBLE) OR g.p >= r.entry * (1 + 0.1::DOUBLE) OR g.s < 0) THEN 1 ELSE 0 END FROM r JOIN g ON g.k = r.k AND g.i = r.i + 1)
+       SELECT k, d, round(cash + held * p, 6) AS equity, trades, round(held, 6) AS position FROM r WHERE i > 0""")
 def d22(spark, sf_dir):
-    return T.backtest(_signals(spark, sf_dir), "k", "d", "close", "signal")
+    return T.backtest(_signals(spark, sf_dir), "k", "d", "close", "signal").withColumns({c: F.round(c, 6) for c in ("equity", "position")})
 
 
 @query("d23_metrics", f"""WITH {BARS}, r AS (SELECT k, d, close + 1 AS v, (close + 1) / lag(close + 1) OVER w - 1 AS r, max(close + 1) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) AS p FROM bars WINDOW w AS (PARTITION BY k ORDER BY d))
