@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm._shared import batch_bytes, chunks_of, connected_components, forget_tokens, mixed, staged, words
 
@@ -14,6 +15,8 @@ from tessera.llm._shared import batch_bytes, chunks_of, connected_components, fo
 BLOCK_SHINGLES = 1 << 20
 #: Distinct sets of which a task remembers that their cells are out already.
 REMEMBERED = 200_000
+#: Rows of a task's edges that are thinned out together.
+HELD_ROWS = 1 << 20
 #: Bits of the parity sketch that bounds the difference of two sets from below.
 SKETCH_BITS = 1024
 
@@ -67,14 +70,15 @@ class Cells:
     def __init__(self, percent: int):
         self.percent, self.lows, self.cuts = percent, size_classes(percent, 1 << 12), {}
 
-    def _reach(self, size: int) -> None:
+    def reach(self, size: int) -> None:
+        """Makes classes for sizes up to ``size``."""
         if size >= self.lows[-1]:
             self.lows = size_classes(self.percent, 2 * size)
 
     def needed(self, tag: int) -> int:
         """d + 1 of a class."""
         while tag + 1 >= len(self.lows):
-            self._reach(int(self.lows[-1]))
+            self.reach(int(self.lows[-1]))
         return (100 - self.percent) * (int(self.lows[tag + 1]) - 1) // self.percent + 1
 
     def spare(self, tag: int) -> int:
@@ -82,7 +86,7 @@ class Cells:
 
     def of(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(class, keys) for the set's own class and for the one below, whose members it may link with."""
-        self._reach(len(tokens))
+        self.reach(len(tokens))
         own = int(np.searchsorted(self.lows, len(tokens), side="right")) - 1
         sums = np.zeros(len(tokens) + 1, np.uint64)
         np.cumsum(mixed(tokens + _C), out=sums[1:])
@@ -96,14 +100,6 @@ class Cells:
         return out
 
 
-def _columns(batches: Iterator, n: int) -> list[np.ndarray]:
-    cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(n)]
-    for batch in batches:
-        for k in range(n):
-            cols[k].append(batch.column(k).to_numpy().astype(np.int64, copy=False))
-    return [np.concatenate(c) for c in cols]
-
-
 def _starts(*cols: np.ndarray) -> np.ndarray:
     """Where sorted rows begin a new group."""
     if not len(cols[0]):
@@ -233,54 +229,34 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(tags))], names=["key", "d", "tag"])
 
-    def shared(batches: Iterator) -> Iterator:
-        """Keys that more than one set has, and how many have them."""
-        import pyarrow as pa
-
-        k, d, tag = _columns(batches, 3)
-        order = np.lexsort((d, k))
-        k, d, tag = k[order], d[order], tag[order]
-        one = _starts(k, d)
-        k, d, tag = k[one], d[one], tag[one]
-        first = _starts(k)
-        n = np.diff(np.append(first, len(k)))
-        n = np.repeat(n, n)
-        for a in range(0, len(k), 1 << 16):
-            many = a + np.flatnonzero(n[a : a + (1 << 16)] > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(d[many]), pa.array(tag[many].astype(np.int16)), pa.array(n[many])], names=["key", "d", "tag", "n"])
-
-    def prefixes(batches: Iterator) -> Iterator:
-        """Each set's keys without the most frequent ones that it may spare. Keys that it has alone come before all others and are in the prefix already."""
-        import pyarrow as pa
-
-        cells = Cells(percent)
-        k, d, tag, count = _columns(batches, 4)
-        order = np.lexsort((k, count, tag, d))
-        k, d, tag = k[order], d[order], tag[order]
-        first = _starts(d, tag)
-        n = np.diff(np.append(first, len(k)))
-        spare = np.array([cells.spare(t) for t in range(int(tag.max()) + 1)])[tag[first]] if len(k) else n
-        keep = np.arange(len(k)) - np.repeat(first, n) < np.repeat(n - spare, n)
-        for a in range(0, len(k), 1 << 16):
-            at = a + np.flatnonzero(keep[a : a + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(d[at])], names=["key", "d"])
-
     def stars(batches: Iterator) -> Iterator:
+        """Of rows sorted by (key, d): edges from each d to the least d of its key, thinned out to a forest now and then."""
         import pyarrow as pa
 
-        k, d = _columns(batches, 2)
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        first = _starts(k)
-        least = np.repeat(d[first], np.diff(np.append(first, len(k))))
-        pairs = np.unique(np.stack([d, least], 1)[d != least], axis=0)
-        if len(pairs):  # a forest of the partition's edges is enough
+        def forest(k, d, key, least):
+            first = _starts(k)
+            head = d[first]
+            if len(k) and k[0] == key:
+                head[0] = least
+            low = np.repeat(head, np.diff(np.append(first, len(k))))
+            pairs = np.unique(np.stack([d, low], 1)[d != low], axis=0)
             nodes, at = np.unique(pairs, return_inverse=True)
-            root = np.array(_roots(len(nodes), at.reshape(-1, 2).tolist()))
+            root = np.array(_roots(len(nodes), at.reshape(-1, 2).tolist()), np.int64)
             while (root != root[root]).any():
                 root = root[root]
             far = root != np.arange(len(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"]), (k[-1], head[-1])
+
+        held, n, last = [], 0, (None, None)
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in (0, 1)])
+            n += len(batch)
+            if n >= HELD_ROWS:
+                out, last = forest(*map(np.concatenate, zip(*held, strict=True)), *last)
+                yield out
+                held, n = [], 0
+        if n:
+            yield forest(*map(np.concatenate, zip(*held, strict=True)), *last)[0]
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -311,9 +287,16 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["u", "v"])
 
     measured = staged(ids.mapInArrow(measure, "doc_id long, n_shingles long, d1 long, d2 long"), "ngram-sizes")
-    met_keys = ids.mapInArrow(cells, "key long, d long, tag short").repartition("key").mapInArrow(shared, "key long, d long, tag short, n long")
-    prefix = met_keys.repartition("d").mapInArrow(prefixes, "key long, d long")
-    edges = prefix.repartition("key").mapInArrow(stars, "u long, v long")
+    sizes = Cells(percent)
+    sizes.reach(measured.agg(F.max("n_shingles")).first()[0] or 1)
+    spare = F.get(F.lit([sizes.spare(tag) for tag in range(len(sizes.lows))]), F.col("tag").cast("int"))
+    # Counted, ordered and cut on the JVM's side, where a key or a set of any size spills.
+    keys = ids.mapInArrow(cells, "key long, d long, tag short").repartition("key").dropDuplicates(["key", "d"])
+    shared = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    of_set = Window.partitionBy("d", "tag")
+    ranked = shared.withColumn("i", F.row_number().over(of_set.orderBy("n", "key"))).withColumn("all", F.count(F.lit(1)).over(of_set))
+    prefix = ranked.filter(F.col("i") <= F.col("all") - spare).select("key", "d")
+    edges = prefix.repartition("key").sortWithinPartitions("key", "d").mapInArrow(stars, "u long, v long")
     families = connected_components(edges, "ngram-families").select(F.col("node").alias("d1"), F.col("component").alias("family"))
     groups = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("gid"))
     standing = staged(groups.join(families, "d1"), "ngram-groups")
