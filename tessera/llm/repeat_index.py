@@ -154,9 +154,13 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def part(r1, r2, place, base, g, a, b, context):
-            cols = (g.view(np.int64), context.view(np.int64), r1, r2, place + base, a + base, b + base)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "context", "r1", "r2", "place", "a", "b"])
+        def part(row, r1, r2, place, base, g, a, b, context):
+            """Neighbouring places of a row with the same anchor and context, as in periodic texts, are one: ``n`` of them, whose contexts reach from a to ``upto``."""
+            new = np.append(True, (g[1:] != g[:-1]) | (context[1:] != context[:-1]) | (row[1:] != row[:-1])) if len(g) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(g)))
+            cols = (g.view(np.int64)[first], context.view(np.int64)[first], r1[first], r2[first], place[first] + base, a[first] + base, b[first] + base, b[first + n - 1] + base, n)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "context", "r1", "r2", "place", "a", "b", "upto", "n"])
 
         for batch in batches:
             r1, r2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -165,7 +169,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                 if y - x > 1 or offsets[y] - offsets[x] <= PIECE:
                     off = offsets[x : y + 1] - offsets[x]
                     row, place, g, a, b, context = anchors(data[offsets[x] : offsets[y]], off, length)
-                    yield part(r1[x:y][row], r2[x:y][row], place - off[row], 0, g, a - off[row], b - off[row], context)
+                    yield part(row, r1[x:y][row], r2[x:y][row], place - off[row], 0, g, a - off[row], b - off[row], context)
                     continue
                 done, end = np.zeros(0, np.int64), int(offsets[y] - offsets[x])
                 for s in range(0, end, PIECE):  # pieces reach over so far that each window and its context is whole in one
@@ -173,14 +177,14 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                     row, place, g, a, b, context = anchors(data[offsets[x] + lo : offsets[x] + hi], np.array([0, hi - lo]), length)
                     own = ((a > 0) | (lo == 0) | (place >= length)) & ((b < hi - lo) | (hi == end)) & ~np.isin(place + lo, done)
                     n = int(own.sum())
-                    yield part(np.full(n, r1[x]), np.full(n, r2[x]), place[own], lo, g[own], a[own], b[own], context[own])
+                    yield part(row[own], np.full(n, r1[x]), np.full(n, r2[x]), place[own], lo, g[own], a[own], b[own], context[own])
                     done = (place + lo)[own]
 
-    found = staged(rows.select("r1", "r2", "raw").mapInArrow(find, "anchor long, context long, r1 long, r2 long, place long, a long, b long"), "repeat-anchors")
-    groups = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "place", "a", "b")).alias("one"))
+    found = staged(rows.select("r1", "r2", "raw").mapInArrow(find, "anchor long, context long, r1 long, r2 long, place long, a long, b long, upto long, n long"), "repeat-anchors")
+    groups = found.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("r1", "r2", "place", "a", "b")).alias("one"))
     groups = staged(groups, "repeat-groups")
     wanted = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).filter("contexts > 1 AND least = 1")
-    equal = found.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("r1", "r2", "a", "b")
+    equal = found.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("r1", "r2", "a", F.col("upto").alias("b"))
     doubtful = groups.join(wanted, "anchor").select("anchor", (F.col("contexts") > most_contexts).alias("split"), "one.*")
     doubtful = staged(doubtful, "repeat-doubtful")
     volume = doubtful.agg(F.sum(F.col("b") - F.col("a"))).first()[0] or 0

@@ -91,6 +91,7 @@ def test_against_all_windows(spark, monkeypatch, seed, length, index, most, piec
     monkeypatch.setattr(R, "ANCHOR_BYTES", most)
     monkeypatch.setattr(R, "PIECE", piece)
     rows = list(enumerate(texts(seed))) + [(1000, None), (1001, ""), (None, "null id " * 3), (1002, "same row twice " * 4), (1002, "same row twice " * 4)]
+    rows += [(2000 + k, "x" * k + "yz" * 90 + "w" * k) for k in range(4)] + [(2010, "q" * 300), (2011, "q" * 120 + "r")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, raw int")
     got = sorted((str(tuple(r)) for r in digest(R.repeats(df, length)).collect()))
     want = R.plain([(t or "").encode() for _, t in rows], length)
