@@ -234,18 +234,21 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     near = contexts.filter("NOT split").select("anchor", "r1", "r2", "place", "a", "raw").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(mark, "r1 long, r2 long, a long, b long")
 
     def windows(batches: Iterator) -> Iterator:
+        """The distinct windows of each context, with the first and the last place; equal ones overlap, as a context is short."""
         import pyarrow as pa
 
         for batch in batches:
             for r1, r2, a, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 s = np.arange(len(raw.as_buffer()) - length + 1)
                 h = Hashes(np.frombuffer(raw.as_buffer(), np.uint8)).of(s, s + length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(s), r1)), pa.array(np.full(len(s), r2)), pa.array(s + a)], names=["window", "r1", "r2", "a"])
-
-    each = contexts.filter("split").select("r1", "r2", "a", "raw").mapInArrow(windows, "window long, r1 long, r2 long, a long")
-    place = F.struct("r1", "r2", "a")
-    twice = each.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("window")
-    far = each.join(twice, "window").select("r1", "r2", "a", (F.col("a") + length).alias("b"))
+                one, first = np.unique(h, return_index=True)
+                last = len(h) - 1 - np.unique(h[::-1], return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), *(pa.array(np.full(len(one), r)) for r in (r1, r2)), pa.array(first + a), pa.array(last + a)], names=["window", "r1", "r2", "a", "z"])
+
+    each = contexts.filter("split").select("r1", "r2", "a", "raw").mapInArrow(windows, "window long, r1 long, r2 long, a long, z long")
+    places = [F.struct("r1", "r2", F.col(c).alias("at")) for c in ("a", "z")]
+    twice = each.groupBy("window").agg(F.min(places[0]).alias("x"), F.max(places[1]).alias("y")).filter("x <> y").select("window")
+    far = each.join(twice, "window").select("r1", "r2", "a", (F.col("z") + length).alias("b"))
     marks = equal.union(near).union(far).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("marks"))
 
     def keep(batches: Iterator) -> Iterator:
