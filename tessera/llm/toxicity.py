@@ -12,14 +12,12 @@ from pyspark.sql import types as T
 
 from tessera.llm._shared import batch_bytes, chunks_of, slice_hashes, staged
 
-#: Bounds of the sample that the classifiers are fitted on: confirmed toxic documents, and documents whatever their label.
-MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
-#: A word is a feature if so many documents of the sample have it and its shares of the positive and of the unlabelled
+#: A word is a feature if so many documents have it and its shares of the positive and of the unlabelled
 #: ones differ by so many standard errors; of these, so many with the greatest difference at most.
 MIN_DOCS, MIN_ERRORS, MAX_WORDS = 4, 5.0, 30_000
 #: Folds of the ids: the first is held out, each of the others is left out by one of the classifiers.
 FOLDS = 5
-STEPS, RATE, DECAY = 400, 0.05, 1e-5
+STEPS, RATE, DECAY = 60, 0.15, 1e-5
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -79,68 +77,74 @@ class Model:
         return out / max(1, len(self.bias))
 
 
-def nn_pu(rows: np.ndarray, places: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_words: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk (Kiryo et al., 2017) under the logistic loss, by Adam.
+def sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, places: np.ndarray, p: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """What each classifier's risk needs of some documents, for all of them and for the positive ones: the sums, by
+    word and over all, of the posteriors, then of the losses of taking them for clean."""
+    n, n_words = len(p), weights.shape[1]
+    out = np.zeros((len(weights), 2, n_words + 2))
+    for k, (w, b) in enumerate(zip(weights, bias, strict=True)):
+        g = np.bincount(rows, w[places], n) + b
+        s, loss = 1 / (1 + np.exp(-np.clip(g, -50, 50))), np.logaddexp(0, g)
+        for j, used in enumerate((folds != k + 1, (folds != k + 1) & (p > 0))):
+            if j == 0 or used.any():
+                out[k, j, :n_words] = np.bincount(places, (s * used)[rows], n_words)
+                out[k, j, n_words:] = (s @ used, loss @ used)
+    return out
+
+
+def nn_pu(step, n_u: np.ndarray, n_p: np.ndarray, prior: float, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases that minimise the non-negative risk (Kiryo et al., 2017) under the logistic loss, by Adam.
 
-    The risk of taking a document for clean is estimated on the unlabelled ones, less the prior's share as the
-    positive ones show it. Where that estimate is below zero, the classifier has begun to learn the sample by heart;
-    the step then only takes it back above zero.
+    ``step`` gives ``sums`` over all documents for the weights so far. The risk of taking a document for clean is
+    estimated on the unlabelled ones, less the prior's share as the positive ones show it. Where that estimate is below
+    zero, the classifier has begun to learn the documents by heart; the step then only takes it back above zero.
     """
-    n = len(positive)
-    p, u = positive / max(1, positive.sum()), unlabelled / max(1, unlabelled.sum())
-    w, b = np.zeros(n_words), float(np.log(prior / (1 - prior)))
-    m, v, mb, vb = np.zeros(n_words), np.zeros(n_words), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        g = np.bincount(rows, w[places], n) + b
-        s = 1 / (1 + np.exp(-np.clip(g, -50, 50)))
-        negative = np.logaddexp(0, g)  # loss of taking it for clean
-        clean = u @ negative - prior * (p @ negative)
-        d = -(u - prior * p) * s if clean < 0 else prior * p * (s - 1) + (u - prior * p) * s
-        grad = np.bincount(places, d[rows], n_words) + DECAY * w
-        gb = d.sum()
+    x = np.zeros((len(n_u), n_words + 1))
+    x[:, -1] = start = float(np.log(prior / (1 - prior)))
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    u, p, words_of_p = 1 / n_u[:, None], prior / n_p[:, None], None
+    for t in range(1, STEPS + 1):
+        total = step(x[:, :-1], x[:, -1])
+        found_u, found_p = total[:, 0] * u, total[:, 1] * p
+        if words_of_p is None:  # all posteriors are the prior as yet
+            words_of_p = found_p[:, :-1] * (1 + np.exp(-start))
+        clean = found_u[:, -1:] - found_p[:, -1:]
+        grad = np.where(clean < 0, found_p[:, :-1] - found_u[:, :-1], found_u[:, :-1] - words_of_p)
+        grad[:, :-1] += DECAY * x[:, :-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-        w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return w, b
+        x -= RATE * (1 - (t - 1) / STEPS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return x[:, :-1], x[:, -1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Classifiers from documents of the folds 1.. alone; None without a confirmed toxic one.
+    """Classifiers from all documents of the folds 1.. alone; None without a confirmed toxic one.
 
-    The sample is the ``MAX_POSITIVE`` toxic and ``MAX_UNLABELLED`` other-blind documents with the smallest hashes
-    of their ids: bounded, the same on every run, and spread over the table. The prior is the share of toxic ones
-    among all labelled rows of the folds.
+    Words are counted over all of them, and every step of the fit adds up all of them: those confirmed as toxic, and
+    all whatever their label. The prior is the share of toxic ones among all labelled rows of the folds.
     """
     known = labels.select(F.col(id_col).alias("id"), "toxic").filter("id IS NOT NULL AND toxic IS NOT NULL").withColumn("fold", fold("id")).filter("fold > 0")
     n, toxic = known.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("long"))).first()
     if not toxic:
         return None
     prior = min(max(toxic / n, 1e-3), 0.9)
-    h = F.xxhash64("id")
-    taken = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").withColumn("fold", fold("id")).filter("fold > 0")
-    some = lambda df, most: df.select("id").distinct().orderBy(h, "id").limit(most)
-    sample = (
-        some(known.filter("toxic = 1"), MAX_POSITIVE).withColumn("p", F.lit(1)).withColumn("u", F.lit(0))
-        .union(some(taken, MAX_UNLABELLED).withColumn("p", F.lit(0)).withColumn("u", F.lit(1)))
-        .groupBy("id").agg(F.max("p").alias("p"), F.max("u").alias("u")).withColumn("fold", fold("id"))
-    )
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw")).join(F.broadcast(sample), "id").select("id", "p", "u", "fold", "raw")
-
-    def read(batches: Iterator) -> Iterator:
+    confirmed = known.filter("toxic = 1").select("id", F.lit(1).alias("p")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw")).filter("id IS NOT NULL").withColumn("fold", fold("id")).filter("fold > 0")
+    rows = rows.join(F.broadcast(confirmed), "id", "left").select(F.coalesce("p", F.lit(0)).alias("p"), "fold", "raw")
+    by_fold = {r["fold"]: (r["u"], r["p"]) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("u"), F.sum("p").alias("p")).collect()}
+    n_u, n_p = (sum(c[k] for c in by_fold.values()) for k in (0, 1))
+    if not n_p or not n_u:
+        return None
+
+    def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for part, row, h in _features(batches, None):
-            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["id", "p", "u", "fold", "words"])
+            words, at = np.unique(h, return_inverse=True)
+            p = part.column(0).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(at, p, len(words)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(words)))], names=["w", "p", "u"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    seen = staged(rows.mapInArrow(read, f"id {kind}, p int, u int, fold int, words array<long>"), "toxicity-sample")
-    n_p, n_u = (int(x or 0) for x in seen.agg(F.sum("p"), F.sum("u")).first())
-    if not n_p or not n_u:
-        return None
-    counts = seen.select("p", "u", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), (F.sum("p") / n_p).alias("in_p"), (F.sum("u") / n_u).alias("in_u"), ((F.sum("p") + F.sum("u")) / (n_p + n_u)).alias("share"))
+    counts = rows.mapInArrow(count, "w long, p long, u long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("u").alias("n"))
+    counts = counts.select("w", "n", (F.col("p") / n_p).alias("in_p"), (F.col("n") / n_u).alias("in_u"), ((F.col("p") + F.col("n")) / (n_p + n_u)).alias("share"))
     errors = F.abs(F.col("in_p") - F.col("in_u")) / F.sqrt(F.greatest(F.col("share") * (1 - F.col("share")), F.lit(1e-9)) * (1 / n_p + 1 / n_u))
     counts = counts.filter(F.col("n") >= MIN_DOCS).withColumn("errors", errors).filter(F.col("errors") >= MIN_ERRORS)
     words = np.sort(np.array([r["w"] for r in counts.orderBy(F.desc("errors"), "w").limit(MAX_WORDS).select("w").collect()], np.int64).view(np.uint64))
@@ -148,27 +152,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
 
     def place(batches: Iterator) -> Iterator:
+        """A row for each part of a batch: its documents' marks, folds and numbers of words, and the places of the words."""
         import pyarrow as pa
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                h = np.array(batch.column(3)[k].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1), pa.array([at[words[at] == h].astype("<u2").tobytes()], pa.binary())], names=["p", "u", "fold", "at"])
-
-    fitted = seen.select("p", "u", "fold", "words").mapInArrow(place, "p int, u int, fold int, at binary").collect()
-    fitted.sort(key=lambda r: (r["fold"], r["p"], r["at"]))
-    at = [np.frombuffer(r["at"], "<u2").astype(np.int64) for r in fitted]
-    p, u, folds = (np.array([r[k] for r in fitted], float) for k in ("p", "u", "fold"))
-    weights, bias = [], []
-    for out in range(1, FOLDS):
-        use = np.flatnonzero((folds != out) | (FOLDS == 2))
-        if p[use].sum() and u[use].sum():
-            rows_ = np.repeat(np.arange(len(use)), [len(at[i]) for i in use])
-            w, b = nn_pu(rows_, np.concatenate([at[i] for i in use]), p[use], u[use], prior, len(words))
-            weights.append(w)
-            bias.append(b)
-    return Model(words, np.array(weights), np.array(bias)) if weights else None
+        for part, row, at in _features(batches, words):
+            cols = (part.column(0).to_numpy().astype("u1"), part.column(1).to_numpy().astype("u1"), np.bincount(row, minlength=part.num_rows).astype("<u2"), at.astype("<u2"))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["p", "fold", "n", "at"])
+
+    seen = staged(rows.mapInArrow(place, "p binary, fold binary, n binary, at binary"), "toxicity-words")
+    seen = seen.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    # a classifier needs documents of both kinds outside the fold that it leaves out
+    use = [k for k in range(1, FOLDS) if sum(c[0] for f, c in by_fold.items() if f != k) and sum(c[1] for f, c in by_fold.items() if f != k)]
+    if not use:
+        return None
+    out_u, out_p = (np.array([sum(c[j] for f, c in by_fold.items() if f != k) or 1 for k in range(1, FOLDS)], float) for j in (0, 1))
+
+    def step(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        now = docs.sparkSession.sparkContext.broadcast((weights, bias))
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            total, first = 0.0, b""
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    p, fold_, n, at = (np.frombuffer(batch.column(c)[r].as_py(), t).astype(np.int64) for c, t in enumerate(("u1", "u1", "<u2", "<u2")))
+                    first = first or at[:64].tobytes()
+                    total = total + sums(*now.value, np.repeat(np.arange(len(n)), n), at, p, fold_)
+            if isinstance(total, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["first", "total"])
+
+        found = seen.mapInArrow(run, "first binary, total binary").collect()
+        now.destroy()
+        return sum(np.frombuffer(r["total"]) for r in sorted(found, key=lambda r: r["first"])).reshape(len(weights), 2, -1)
+
+    weights, bias = nn_pu(step, out_u, out_p, prior, len(words))
+    keep = [k - 1 for k in use]
+    return Model(words, weights[keep], bias[keep])
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

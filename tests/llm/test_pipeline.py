@@ -1,6 +1,7 @@
 """The stages of the pipeline against plain versions, each on its own input."""
 
 import re
+import zlib
 
 import pytest
 
@@ -187,3 +188,20 @@ def test_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
     found = C.run(spark, SF)
     assert found.count() > 0
     assert [d.rsplit("-", 1)[0] for d in os.listdir(tmp_path)] == ["pipeline-packing"]
+
+
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """More toxic and other documents than a sample of the fit once held: all of the folds are counted."""
+    n = 20_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(if(id % 3 = 0, 'vile slur', 'kind word'), ' w', id % 7) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS toxic")
+    folds = [zlib.crc32(str(i).encode()) % 5 for i in range(n)]
+    seen = {}
+    fitted = toxicity.nn_pu
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    monkeypatch.setattr(toxicity, "nn_pu", lambda step, n_u, n_p, *rest: seen.update(u=n_u.tolist(), p=n_p.tolist(), sums=step(np.zeros((4, rest[1])), np.zeros(4))) or fitted(step, n_u, n_p, *rest))
+    assert toxicity.fit(docs, labels) is not None
+    assert seen["u"] == [sum(f not in (0, k) for f in folds) for k in range(1, 5)]
+    assert seen["p"] == [sum(f not in (0, k) and i % 3 == 0 for i, f in enumerate(folds)) for k in range(1, 5)]
+    assert np.allclose(seen["sums"][:, 0, -2], np.array(seen["u"]) / 2)
+    assert np.allclose(seen["sums"][:, 1, -2], np.array(seen["p"]) / 2)
