@@ -192,13 +192,13 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
        its size only counts once; the components of these edges are families, and all links lie within families.
     3. A family is dealt into blocks of bounded size, and each pair of blocks meets in a task of its own. There
        pairs of groups are filtered by size and sketch, and what passes is verified on the whole sets.
-    4. Members take over their group's component.
+    4. A document whose texts lie in several groups joins these. Members take over their group's component.
 
     Sets are held as 64-bit hashes, so a pair is decided wrongly only if two of its own shingles collide.
 
     Null and empty texts, and those of white space only, have no shingles and no links. Rows without an id have
-    shingles, but link with nothing, and their component is null. Rows that repeat an id are texts of one document:
-    links of the texts that represent their group count. An empty table gives no rows. Further columns are ignored.
+    shingles, but link with nothing, and their component is null. Rows that repeat an id are texts of one document,
+    which has the links of them all. An empty table gives no rows. Further columns are ignored.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -298,22 +298,26 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     prefix = ranked.filter(F.col("i") <= F.col("all") - spare).select("key", "d")
     edges = prefix.repartition("key").sortWithinPartitions("key", "d").mapInArrow(stars, "u long, v long")
     families = connected_components(edges, "ngram-families").select(F.col("node").alias("d1"), F.col("component").alias("family"))
-    groups = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("gid"))
+    named = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    groups = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("gid"))
     standing = staged(groups.join(families, "d1"), "ngram-groups")
     blocks = standing.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     dealt = standing.join(blocks, "family").withColumn("block", F.expr("cast(pmod(xxhash64(gid), blocks) as int)"))
     meets = dealt.select("family", "gid", "n_shingles", "d1", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    raw = ids.select(F.col("doc_id").alias("gid"), F.encode("text", "UTF-8").alias("raw"))
+    raw = ids.select(F.col("doc_id").alias("gid"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     # The texts are dealt by id at every size; no sort of them is needed, as an id's rows in ``meets`` are few.
     met = raw.join(meets.hint("shuffle_hash"), "gid").select(
         "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "gid", "block", "n_shingles", "d1", "raw"
     )
     met = met.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     links = met.mapInArrow(verify, "u long, v long")
-    joined = connected_components(links, "ngram-links")
+    of_text = F.struct("n_shingles", "d1", "d2")
+    several = named.groupBy("doc_id").agg(F.min(of_text).alias("least"), F.max(of_text).alias("most")).filter("least <> most")
+    own = named.join(several, "doc_id", "left_semi").join(groups, ["n_shingles", "d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("gid").alias("v"))
+    joined = connected_components(links.union(own), "ngram-links")
     of = groups.join(joined.withColumnRenamed("node", "gid"), "gid", "left").select(
         "n_shingles", "d1", "d2", F.least("gid", F.coalesce("component", "gid")).alias("component_id")
     )
     empty = measured.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(of, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
+    full = named.join(of, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     return full.union(empty).withColumnRenamed("doc_id", id_col)

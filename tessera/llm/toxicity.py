@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from tessera.llm._shared import batch_bytes, chunks_of, slice_hashes, staged
 
 #: A word is a feature if so many documents have it and its shares of the positive and of the unlabelled
-#: ones differ by so many standard errors; of these, so many with the greatest difference at most.
-MIN_DOCS, MIN_ERRORS, MAX_WORDS = 4, 5.0, 30_000
+#: ones differ by so many standard errors.
+MIN_DOCS, MIN_ERRORS = 4, 5.0
+#: Words of a slice of a task's sums. The driver adds up one slice of each task; of more, the executors do.
+SLICE_WORDS = 1 << 15
 #: Folds of the ids: the first is held out, each of the others is left out by one of the classifiers.
 FOLDS = 5
 STEPS, RATE, DECAY = 60, 0.15, 1e-5
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = counts.select("w", "n", (F.col("p") / n_p).alias("in_p"), (F.col("n") / n_u).alias("in_u"), ((F.col("p") + F.col("n")) / (n_p + n_u)).alias("share"))
     errors = F.abs(F.col("in_p") - F.col("in_u")) / F.sqrt(F.greatest(F.col("share") * (1 - F.col("share")), F.lit(1e-9)) * (1 / n_p + 1 / n_u))
     counts = counts.filter(F.col("n") >= MIN_DOCS).withColumn("errors", errors).filter(F.col("errors") >= MIN_ERRORS)
-    words = np.sort(np.array([r["w"] for r in counts.orderBy(F.desc("errors"), "w").limit(MAX_WORDS).select("w").collect()], np.int64).view(np.uint64))
+    words = np.sort(np.array([r["w"] for r in counts.select("w").collect()], np.int64).view(np.uint64))
     if not len(words):
         return None
 
@@ -156,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         for part, row, at in _features(batches, words):
-            cols = (part.column(0).to_numpy().astype("u1"), part.column(1).to_numpy().astype("u1"), np.bincount(row, minlength=part.num_rows).astype("<u2"), at.astype("<u2"))
+            cols = (part.column(0).to_numpy().astype("u1"), part.column(1).to_numpy().astype("u1"), np.bincount(row, minlength=part.num_rows).astype("<u4"), at.astype("<u4"))
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["p", "fold", "n", "at"])
 
     seen = staged(rows.mapInArrow(place, "p binary, fold binary, n binary, at binary"), "toxicity-words")
@@ -176,15 +178,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             total, first = 0.0, b""
             for batch in batches:
                 for r in range(batch.num_rows):
-                    p, fold_, n, at = (np.frombuffer(batch.column(c)[r].as_py(), t).astype(np.int64) for c, t in enumerate(("u1", "u1", "<u2", "<u2")))
+                    p, fold_, n, at = (np.frombuffer(batch.column(c)[r].as_py(), t).astype(np.int64) for c, t in enumerate(("u1", "u1", "<u4", "<u4")))
                     first = first or at[:64].tobytes()
                     total = total + sums(*now.value, np.repeat(np.arange(len(n)), n), at, p, fold_)
             if isinstance(total, np.ndarray):
-                yield pa.RecordBatch.from_arrays([pa.array([first], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["first", "total"])
+                for k in range(0, total.shape[2], SLICE_WORDS):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([first], pa.binary()), pa.array([total[:, :, k : k + SLICE_WORDS].tobytes()], pa.binary())], names=["k", "first", "total"])
 
-        found = seen.mapInArrow(run, "first binary, total binary").collect()
+        def add(batches: Iterator) -> Iterator:
+            """Of slices sorted by (k, first): one for each k."""
+            import pyarrow as pa
+
+            def out(k, total):
+                return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([b""], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["k", "first", "total"])
+
+            at, total = None, 0.0
+            for batch in batches:
+                for k, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                    if at is not None and k != at:
+                        yield out(at, total)
+                        total = 0.0
+                    at, total = k, total + np.frombuffer(raw.as_buffer())
+            if at is not None:
+                yield out(at, total)
+
+        kind = "k long, first binary, total binary"
+        found = seen.mapInArrow(run, kind)
+        if weights.shape[1] + 2 > SLICE_WORDS:
+            found = found.repartition("k").sortWithinPartitions("k", "first").mapInArrow(add, kind)
+        slices: dict[int, np.ndarray | float] = {}
+        for r in sorted(found.collect(), key=lambda r: (r["k"], r["first"])):
+            slices[r["k"]] = slices.get(r["k"], 0.0) + np.frombuffer(r["total"])
         now.destroy()
-        return sum(np.frombuffer(r["total"]) for r in sorted(found, key=lambda r: r["first"])).reshape(len(weights), 2, -1)
+        return np.concatenate([x.reshape(len(weights), 2, -1) for x in slices.values()], axis=2)
 
     weights, bias = nn_pu(step, out_u, out_p, prior, len(words))
     keep = [k - 1 for k in use]

@@ -79,6 +79,16 @@ def test_odd_tables(spark):
     assert got == sorted(map(str, [(None, 2, None), (None, 0, None), (4, 2, 4), (4, 2, 4), (5, 2, 4), (6, 1, 6)]))
 
 
+def test_texts_of_one_id_join_their_groups(spark):
+    """Document 70 has the sets of 60 and of 65, 30 near copies of two others; a null text beside a text with candidates."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(60, a), (65, b), (70, a), (70, b), (80, c), (82, d), (30, c + " once more"), (30, d + " once more"), (90, e), (91, e + " more"), (90, None), (91, " ")]
+    got = {}
+    for r in N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update({r["component_id"]} if r["n_shingles"] else ())
+    assert got == {60: {60}, 65: {60}, 70: {60}, 80: {30}, 82: {30}, 30: {30}, 90: {90}, 91: {90}}
+
+
 def test_classes_reach_all_linked_sizes():
     for percent in (50, 80, 90, 95):
         lows = N.size_classes(percent, 5000)

@@ -205,3 +205,25 @@ def test_toxicity_learns_from_every_row(spark, monkeypatch):
     assert seen["p"] == [sum(f not in (0, k) and i % 3 == 0 for i, f in enumerate(folds)) for k in range(1, 5)]
     assert np.allclose(seen["sums"][:, 0, -2], np.array(seen["u"]) / 2)
     assert np.allclose(seen["sums"][:, 1, -2], np.array(seen["p"]) / 2)
+
+
+def test_toxicity_learns_every_word_that_differs(spark, monkeypatch):
+    """More words that tell toxic documents apart than a classifier once took, in slices and as one."""
+    bad = " ".join(f"bad{i}" for i in range(40_000))
+    docs = spark.createDataFrame([(i, bad if i % 5 == 0 else f"kind word w{i % 7}") for i in range(120)], "doc_id long, text string").repartition(3)
+    labels = spark.range(120).selectExpr("id AS doc_id", "CAST(id % 5 = 0 AS INT) AS toxic")
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    model = toxicity.fit(docs, labels)
+    assert len(model.words) >= 40_000
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 1 << 20)
+    whole = toxicity.fit(docs, labels)
+    assert (model.words == whole.words).all()
+    assert np.allclose(model.weights, whole.weights)
+    assert np.allclose(model.bias, whole.bias)
+
+
+def test_groups_take_all_texts_of_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(60, a), (65, b), (70, a), (70, b), (75, "no copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, C.distinct_groups(spark, docs, SF).collect())) == [rows[0], rows[4]]
